@@ -135,12 +135,12 @@ def a15(t):
 
 
 @register("a17_co_change_confidence", "+ " + CO + ", " + METRICS + """,
-both AS (SELECT repo_id, source AS key, target AS other, weight FROM co
+dirs AS (SELECT repo_id, source AS key, target AS other, weight FROM co
          UNION ALL SELECT repo_id, target, source, weight FROM co)
 SELECT repo_id, request_id, key, weight, confidence FROM (
   SELECT b.repo_id, b.key AS request_id, b.other AS key, b.weight, round(least(1, b.weight / greatest(1, m.commit_count)), 6) AS confidence,
     row_number() OVER (PARTITION BY b.repo_id, b.key ORDER BY b.weight DESC, b.other) AS rn
-  FROM both b JOIN metrics m ON b.repo_id = m.repo_id AND b.key = 'f:' || m.path) WHERE rn <= 15""", "changes commits")
+  FROM dirs b JOIN metrics m ON b.repo_id = m.repo_id AND b.key = 'f:' || m.path) WHERE rn <= 15""", "changes commits")
 def a17(t):
     from commitloom.operators.impact import co_change_partners
 

@@ -17,7 +17,7 @@ class Query:
     oracle: str | None
 
 
-FAMILIES = ["scalars", "changes"]
+FAMILIES = ["scalars", "changes", "graphs"]
 REGISTRY: dict[str, Query] = {}
 
 
