@@ -169,6 +169,12 @@ BINDINGS: dict[str, str] = {
                  ELSE CASE WHEN t.language IN ('python', 'markdown') THEN '' ELSE '}' END
                END AS text
         FROM {source_parts} x JOIN {tree} t ON x.pk = t.pk""",
+    # every line of an order as a hunk of that commit's diff; diff paths lack the first directory
+    "hunks": """
+        SELECT l.l_linestatus AS repo_id, l.l_orderkey AS request_id,
+               regexp_replace(t.path, '^[a-z]+/', '') AS path, CAST(l.l_linenumber * 10 AS INT) AS start,
+               CAST(l.l_linenumber * 10 + l.l_quantity - 1 AS INT) AS end_
+        FROM {lineitem} l JOIN {tree} t ON l.l_partkey = t.pk""",
     # documents as text files; conversations as a question log
     "texts": """
         SELECT doc_id, concat(source, '/', lang, '/doc_', doc_id, '.txt') AS path, lang, text

@@ -119,7 +119,7 @@ def s07(t):
 
 @register("a02_merge_edges", "+ " + MERGED + " SELECT * FROM merged", "edges")
 def a02(t):
-    return merged(t.edges.sparkSession and t)
+    return merged(t)
 
 
 @register("a03_degrees", "+ " + DEGREE + " SELECT * FROM degree", "edges")
@@ -434,5 +434,6 @@ def r12(t):
             F.array(F.lower(F.substring_index("p_name", " ", 1)), F.concat(F.lit("unit_"), "p_size"), F.lit(".py"), F.lit(".go"))
         ).alias("term")
     ).distinct()
-    terms = words.join(repos, F.lit(True)) if False else words.withColumn("repo_id", F.explode(F.array(F.lit("F"), F.lit("O")))).join(repos, "repo_id", "left_semi")
+    every = words.withColumn("repo_id", F.explode(F.array(F.lit("F"), F.lit("O"))))
+    terms = every.join(repos, "repo_id", "left_semi")
     return G.search_names(nodes(t), terms)

@@ -17,7 +17,7 @@ class Query:
     oracle: str | None
 
 
-FAMILIES = ["scalars", "changes", "graphs"]
+FAMILIES = ["scalars", "changes", "graphs", "impacts", "insights"]
 REGISTRY: dict[str, Query] = {}
 
 
