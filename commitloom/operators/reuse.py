@@ -112,19 +112,19 @@ def impact_input_hash(targets: Column, description: Column, diff: Column) -> Col
     )
 
 
-def snapshot_fingerprint(files: DataFrame, by: Sequence[str] = REPO, buckets: int = 4096) -> DataFrame:
+def snapshot_fingerprint(files: DataFrame, by: Sequence[str] = REPO, digits: int = 3) -> DataFrame:
     """A hash of all (path, hash) pairs of a repository, independent of their order.
 
-    Two levels, so that no task holds a repository: pairs hash into buckets by path, each bucket's
-    sorted lines give a digest, and the fingerprint digests the sorted bucket digests.
+    Two levels, so that no task holds a repository: pairs fall into 16^``digits`` buckets by the hash
+    of their path, each bucket's sorted lines give a digest, and the digests in bucket order give the
+    fingerprint.
     """
-    line = F.concat_ws(":", "path", "hash")
-    bucket = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(buckets))
-    digests = files.groupBy(*by, bucket.alias("_b")).agg(
-        F.sha1(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("_d")
+    digests = files.groupBy(*by, F.substring(F.sha1("path"), 1, digits).alias("_b")).agg(
+        F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash"))), "\n")).alias("_d")
     )
+    in_order = F.array_sort(F.collect_list(F.struct("_b", "_d")))
     return digests.groupBy(*by).agg(
-        F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "\n")).alias("fingerprint")
+        F.sha1(F.array_join(F.transform(in_order, lambda x: x["_d"]), "\n")).alias("fingerprint")
     )
 
 

@@ -157,16 +157,16 @@ BINDINGS: dict[str, str] = {
                       WHEN 'rust' THEN concat('use ', x.extra, ';')
                       ELSE concat('see ', x.extra) END
                  WHEN 'head' THEN CASE t.language
-                      WHEN 'typescript' THEN concat('export function unit_', x.sk, '(x) {')
+                      WHEN 'typescript' THEN concat('export function unit_', x.sk, '(x) {{')
                       WHEN 'python' THEN concat('def unit_', x.sk, '(x):')
-                      WHEN 'java' THEN concat('public void unit_', x.sk, '(int x) {')
-                      WHEN 'go' THEN concat('func unit_', x.sk, '(x int) {')
-                      WHEN 'rust' THEN concat('pub fn unit_', x.sk, '(x: i32) {')
+                      WHEN 'java' THEN concat('public void unit_', x.sk, '(int x) {{')
+                      WHEN 'go' THEN concat('func unit_', x.sk, '(x int) {{')
+                      WHEN 'rust' THEN concat('pub fn unit_', x.sk, '(x: i32) {{')
                       ELSE concat('## unit_', x.sk) END
                  WHEN 'note' THEN concat('    ', CASE WHEN t.language = 'python' THEN '#' ELSE '//' END,
                                          ' see hidden_', x.sk, '(x)')
                  WHEN 'call' THEN concat('    unit_', x.extra, '(x);')
-                 ELSE CASE WHEN t.language IN ('python', 'markdown') THEN '' ELSE '}' END
+                 ELSE CASE WHEN t.language IN ('python', 'markdown') THEN '' ELSE '}}' END
                END AS text
         FROM {source_parts} x JOIN {tree} t ON x.pk = t.pk""",
     # every line of an order as a hunk of that commit's diff; diff paths lack the first directory
@@ -220,6 +220,14 @@ class Tables:
             self._frames[name] = frame
         return self._frames[name]
 
+    def stored(self, name: str, build) -> DataFrame:
+        """``build(self)`` written once to the shared folder and read from there afterwards."""
+        from commitloom.session import cut_lineage
+
+        if name not in self._frames:
+            self._frames[name] = cut_lineage(build(self))
+        return self._frames[name]
+
     def _sources(self) -> DataFrame:
         """Source files with their content, one row per file."""
         from pyspark.sql import functions as F

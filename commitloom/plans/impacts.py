@@ -9,7 +9,8 @@ from commitloom.operators import impact as I
 from commitloom.operators import reach as R
 from commitloom.operators.history import commit_percentile
 from commitloom.plans.changes import CO, METRICS, co_change, metrics
-from commitloom.plans.graphs import ALLEDGES, FULL, NODES, full_edges, merged, nodes
+from commitloom.plans import graphs
+from commitloom.plans.graphs import ALLEDGES, FULL, NODES, merged
 from commitloom.plans.registry import register
 
 c = F.col
@@ -17,6 +18,15 @@ RQ = ["repo_id", "request_id"]
 TABLES = FULL + " commits"
 
 
+def full_edges(t):
+    """The graph's edges, written once: the levels of a reach read them again and again."""
+    return t.stored("full_edges", graphs.full_edges)
+
+
+def nodes(t):
+    return t.stored("nodes", graphs.nodes)
+
+
 def targets(t):
     return t.repo_files.select("repo_id", c("key").alias("request_id"), "key")
 
@@ -80,7 +90,7 @@ tests AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, requ
 
 
 def reached(t):
-    return R.reverse_reach(targets(t), nodes(t), full_edges(t))
+    return t.stored("reached", lambda t: R.reverse_reach(targets(t), nodes(t), full_edges(t)))
 
 
 def impacted(t):
@@ -212,9 +222,8 @@ factors AS (SELECT repo_id, request_id, CAST(floor(least(1, dependents / 20) * 3
 
 def risk(t):
     own = target_files(t)
-    edges = full_edges(t)
     all_nodes = nodes(t)
-    top = R.top_impacted(R.reverse_reach(targets(t), all_nodes, edges))
+    top = impacted(t)
     files = I.impacted_files(top, own, all_nodes)
     partners = I.co_change_partners(own, co_change(t))
     related = I.related_tests(files, partners, own, t.repo_files)
@@ -294,7 +303,9 @@ def u04(t):
     return I.choose_targets(picked, diff_targets(t).where(c("key").startswith("e:")), mentioned)
 
 
-@register("a20_impact_input_hash")
+@register("a20_impact_input_hash", """
+SELECT ch.repo_id, ch.sha, sha1('["' || replace(CAST(to_json(list_sort(list(path))) AS VARCHAR), '"', '\\"') || '","' || lower(any_value(message)) || '",""]') AS input_hash
+FROM changes ch JOIN commits co ON ch.repo_id = co.repo_id AND ch.sha = co.sha GROUP BY 1, 2""", "changes commits")
 def a20(t):
     from commitloom.operators.reuse import impact_input_hash
 

@@ -17,7 +17,7 @@ class Query:
     oracle: str | None
 
 
-FAMILIES = ["scalars", "changes", "graphs", "impacts", "insights"]
+FAMILIES = ["scalars", "changes", "graphs", "impacts", "insights", "texts"]
 REGISTRY: dict[str, Query] = {}
 
 
