@@ -53,7 +53,7 @@ def x02(t):
 SELECT repo_id, path, start_line AS line, 'function' AS kind, name, signature, true AS exported FROM spans WHERE language <> 'go'
 UNION ALL SELECT repo_id, path, start_line, 'function', name, signature, false FROM spans WHERE language = 'go'""", "source_lines")
 def x03(t):
-    decls = X.extract_declarations(code_sources(t)).select(*FILE, F.explode("decls").alias("d"))
+    decls = X.extract_declarations(code_sources(t)).select(*FILE, F.explode_outer("decls").alias("d")).where(c("d").isNotNull() & ~c("d.d.member"))
     return decls.select(
         *FILE, c("d.start").alias("line"), c("d.d.kind").alias("kind"), c("d.d.name").alias("name"),
         c("d.signature").alias("signature"), c("d.d.exported").alias("exported"),
