@@ -364,7 +364,8 @@ def resolve_imports(
     key = [*by, "path", "language", "spec"]
     asked = (
         propose(imports, files, aliases, by)
-        .select(*key, F.explode("candidates").alias("c"))
+        .select(*key, F.explode_outer("candidates").alias("c"))
+        .where(F.col("c").isNotNull())
         .select(*key, "c.slot", "c.step", "c.rank", "c.kind", "c.value")
         .distinct()
     )

@@ -17,7 +17,7 @@ class Query:
     oracle: str | None
 
 
-FAMILIES = ["scalars", "changes", "graphs", "impacts", "insights", "texts"]
+FAMILIES = ["scalars", "changes", "graphs", "impacts", "insights", "texts", "imports", "searches", "lookups", "reports", "streams"]
 REGISTRY: dict[str, Query] = {}
 
 

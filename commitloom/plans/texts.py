@@ -29,7 +29,7 @@ UNITS = f"""units AS (SELECT repo_id, path, language, sk, 'unit_' || sk AS name,
     max(line_no) - CASE WHEN language = 'python' THEN 1 ELSE 0 END AS last_line,
     arg_min(text, line_no) AS signature, max(line_no) FILTER (kind = 'call') AS last_call
   FROM source_lines WHERE sec = 1 AND language IN {CODE} GROUP BY 1, 2, 3, 4),
-spans AS (SELECT repo_id, path, language, sk, name, start_line, signature,
+spans AS (SELECT repo_id, path, language, sk, name, start_line, signature, last_call,
     CASE WHEN language = 'python' THEN coalesce(last_call, start_line) ELSE last_line END AS end_line FROM units)"""
 
 
@@ -142,7 +142,7 @@ def x10(t):
 
 
 @register("x11_extract_refs", "+ " + UNITS + """
-SELECT u.repo_id, u.path, u.name AS qualified_name, u.start_line, 'x' AS callee FROM spans u""", "source_lines")
+SELECT u.repo_id, u.path, u.name AS qualified_name, u.start_line, 'x' AS callee FROM spans u WHERE language <> 'rust' OR last_call IS NOT NULL""", "source_lines")
 def x11(t):
     known = t.sources.select("repo_id", F.lit("x").alias("name")).distinct()
     return X.extract_refs(bodies(t), known).select(*FILE, "qualified_name", "start_line", "callee")
