@@ -313,8 +313,14 @@ def default_aliases() -> Column:
     )
 
 
-def propose(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = REPO) -> DataFrame:
-    """Imports with their candidate array. ``aliases`` holds (keys, prefix, target, priority)."""
+def propose(
+    imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = REPO,
+    languages: Sequence[str] | None = None,
+) -> DataFrame:
+    """Imports with their candidate array. ``aliases`` holds (keys, prefix, target, priority).
+
+    ``languages`` names the languages that occur, to keep the expression small; None means any.
+    """
     roots = source_roots(files, by)
     ready = imports.join(roots, list(by), "left").withColumn(
         "roots", F.coalesce("roots", F.array(F.lit("")))
@@ -335,35 +341,38 @@ def propose(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = No
         configured = F.coalesce("_aliases", configured)
     spec, path, language = F.col("spec"), F.col("path"), F.col("language")
     names = F.col("names") if "names" in imports.columns else _strings([])
-    script = language.isin("typescript", "javascript")
-    every = (
-        F.when(
-            script,
-            F.concat(
-                candidates_relative(spec, path, language),
-                candidates_alias_root(spec, F.concat(configured, default_aliases()), F.col("roots")),
-            ),
-        )
-        .when(language == "python", candidates_module(spec, names, path, F.col("roots")))
-        .when(language == "rust", candidates_crate(spec, path))
-        .when(language.isin("go", "csharp"), candidates_directory(spec, language))
-        .otherwise(
-            F.concat(
-                candidates_relative(spec, path, language), candidates_suffix(spec, language),
-                candidates_directory(spec, language),
-            )
+
+    def every_kind() -> Column:
+        return F.concat(
+            candidates_relative(spec, path, language), candidates_suffix(spec, language), candidates_directory(spec, language)
         )
-    )
+
+    def script() -> Column:
+        known = F.concat(configured, default_aliases())
+        return F.concat(candidates_relative(spec, path, language), candidates_alias_root(spec, known, F.col("roots")))
+
+    builders = [
+        (("typescript", "javascript"), script),
+        (("python",), lambda: candidates_module(spec, names, path, F.col("roots"))),
+        (("rust",), lambda: candidates_crate(spec, path)),
+        (("go", "csharp"), lambda: candidates_directory(spec, language)),
+        (("java", "kotlin", "scala", "c", "cpp", "ruby", "php", "dart"), every_kind),
+    ]
+    every = F.array().cast(CANDIDATE)
+    for group, build in builders:
+        if languages is None or set(group) & set(languages):
+            every = F.when(language.isin(*group), build()).otherwise(every)
     return ready.withColumn("candidates", every).drop("roots", "_aliases")
 
 
 def resolve_imports(
-    imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = REPO
+    imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = REPO,
+    languages: Sequence[str] | None = None,
 ) -> DataFrame:
     """Distinct (keys, path, spec, language, target): the files each import means, itself excluded."""
     key = [*by, "path", "language", "spec"]
     asked = (
-        propose(imports, files, aliases, by)
+        propose(imports, files, aliases, by, languages)
         .select(*key, F.explode_outer("candidates").alias("c"))
         .where(F.col("c").isNotNull())
         .select(*key, "c.slot", "c.step", "c.rank", "c.kind", "c.value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom import fixed
@@ -96,9 +96,9 @@ def chunks_for_nodes(nodes: DataFrame, chunks: DataFrame, k: int, query: Sequenc
     """
     first = top_per_group(chunks.select("owner", "doc_id", "chunk_index"), ["owner"], [F.col("chunk_index"), F.col("doc_id")], k)
     rows = nodes.join(first, nodes["key"] == first["owner"]).select(*query, "node_position", "chunk_index", "doc_id")
-    return top_per_group(
-        rows, query, [F.col("node_position"), F.col("chunk_index"), F.col("doc_id")], 1000, rank="position"
-    )
+    # a query has at most a few dozen nodes with k chunks each
+    order = Window.partitionBy(*query).orderBy("node_position", "chunk_index", "doc_id")
+    return rows.withColumn("position", F.row_number().over(order))
 
 
 def anchor_expand(

@@ -21,7 +21,7 @@ def resolve(t, *languages, where=None):
     rows = specs(t, *languages)
     if where is not None:
         rows = rows.where(where)
-    return M.resolve_imports(rows, t.repo_files.select("repo_id", "path"))
+    return M.resolve_imports(rows, t.repo_files.select("repo_id", "path"), languages=languages or None)
 
 
 # candidate target paths of script and Python imports, written out as (spec, candidate, rank)
@@ -88,7 +88,7 @@ UNION SELECT s.repo_id, 'f:' || s.path, 'p:' || CASE WHEN s.language = 'python'
           "import_specs repo_files")
 def j07(t):
     rows = specs(t, "typescript", "python")
-    return M.link_imports(rows, M.resolve_imports(rows, t.repo_files.select("repo_id", "path")))
+    return M.link_imports(rows, M.resolve_imports(rows, t.repo_files.select("repo_id", "path"), languages=("typescript", "python")))
 
 
 # names shared by parts of one brand file: the cascade over all parts as entities

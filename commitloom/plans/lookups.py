@@ -200,7 +200,7 @@ def j21(t):
 SELECT a.page_id, b.page_id AS duplicate_of FROM k a JOIN k b ON a.key = b.key""", "hrefs")
 def j22(t):
     url = F.regexp_replace("url", "[?#].*$", "")
-    new = t.pages.select("page_id", F.concat(url, F.lit(".git/")).alias("url"), F.lit(None).cast("string").alias("branch"))
+    new = t.pages.select("page_id", F.concat(F.regexp_replace(url, "/+$", ""), F.lit(".git/")).alias("url"), F.lit(None).cast("string").alias("branch"))
     known = t.pages.select(c("page_id").alias("repo_id"), url.alias("url"), F.lit("main").alias("branch"), F.lit(None).cast("timestamp").alias("last_sync"))
     return R.find_duplicate_repos(new, known).select("page_id", "duplicate_of")
 
