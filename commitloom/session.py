@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -12,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,19 +24,14 @@ def build_session(app: str = "commitloom", master: str | None = None, **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; where none is set, a folder beside the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    active = spark.sparkContext.getCheckpointDir()
-    if active is None:
-        folder = tempfile.mkdtemp(prefix="commitloom-checkpoint-")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.commitloom.scratch", folder)
-        return folder
-    return spark.conf.get("spark.commitloom.scratch", active)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
