@@ -5,10 +5,10 @@ frequency that is damped to 0.9..1, so the threshold keeps its meaning next to p
 frequencies are counted over all documents in a table of hashed shingles of fixed size. Each text gets
 BANDS x ROWS consistent weighted samples; texts that agree in a band meet in a group.
 
-Groups are settled by hubs, never by all pairs: every member is compared with the hub by exact weighted
-Jaccard. 1 - J is a metric, so members within 0.2 of the hub cannot be linked to ones farther than 0.4: the
-group splits into (linked + middle) and (middle + far) and goes on with new hubs until all that may still be
-linked is connected. Texts with equal words are one node from the start.
+Groups are settled by a few hubs at a time: every member that is not connected to a hub yet is compared with
+it by exact weighted Jaccard, hubs are then done with, and a group is closed once it is connected. Hubs come
+from the smallest components, so the one large family of a hot group is settled after the few that stand
+apart from it, not member by member. Texts with equal words are one node from the start.
 
 Null and empty texts have no shingles; they are copies of each other. Texts of fewer than five words have
 one shingle of all their words. A class is named by its least doc_id; rows without doc_id come last.
@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom.llm.components import components
@@ -37,6 +37,8 @@ COUNTERS = 1 << 16
 IDF_FLOOR = 0.9
 #: Members of a group that one task compares with a hub.
 MEMBERS = 512
+#: Hubs a round takes from a group; from one of up to SMALL members SMALL_HUBS.
+HUBS, SMALL, SMALL_HUBS = 8, 128, 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -177,14 +179,21 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray) -> DataFra
 
 
 def _open(groups: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Members of the groups that are not connected within themselves yet."""
-    rows = groups.distinct()
-    if parts is not None:
-        rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
+    """Groups (group, node) whose members are not connected yet, each member with its rank as a hub.
+
+    Members of small components come first: one compared with all others of its group is done with.
+    """
+    rows = groups
+    if parts is None:
         rows = rows.withColumn("component", F.col("node"))
-    spread = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub"), F.count("*").alias("n"))
-    return stored(rows.join(spread.where(F.col("low") != F.col("high")).select("group", "hub"), "group").select("group", "node", "hub"))
+    else:
+        rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = rows.groupBy("group", "component").agg(F.count("*").alias("own"))
+    spread = own.groupBy("group").agg(F.sum("own").alias("n"), F.count("*").alias("parts")).where(F.col("parts") > 1)
+    place = F.row_number().over(Window.partitionBy("group").orderBy("own", F.xxhash64("node"), "node"))
+    found = rows.join(own, ["group", "component"]).join(spread.select("group", "n"), "group")
+    first = found.withColumn("rank", place).where((F.col("rank") <= SMALL_HUBS) & ((F.col("rank") <= HUBS) | (F.col("n") <= SMALL)))
+    return stored(found.join(first.select("group", "node", "rank"), ["group", "node"], "left").select("group", "node", "component", "rank"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -205,16 +214,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = stored(_matching(found))
     open_, known, parts = _open(members, None), None, None
     while open_.limit(1).count():
-        pairs = open_.where(F.col("node") != F.col("hub")).select("hub", "node").distinct()
+        hubs = open_.where(F.col("rank").isNotNull()).select("group", F.col("node").alias("hub"), F.col("component").alias("part"), F.col("rank").alias("place"))
+        pairs = (
+            open_.join(hubs, "group").where((F.col("component") != F.col("part")) & (F.col("rank").isNull() | (F.col("rank") > F.col("place"))))
+            .select("hub", "node").distinct())
         if known is not None:
             pairs = pairs.join(known, ["hub", "node"], "left_anti")
-        fresh = stored(similarities(pairs, found, idf))
-        known = fresh if known is None else known.unionByName(fresh)
-        parts = stored(components(known.where(F.col("similarity") >= SIMILAR).select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "component"))
-        seen = open_.where(F.col("node") != F.col("hub")).join(known.groupBy("hub", "node").agg(F.max("similarity").alias("similarity")), ["hub", "node"])
-        inner = seen.where(F.col("similarity") >= 2 * SIMILAR - 1).select(F.xxhash64("group", F.lit(0)).alias("group"), "node")
-        outer = seen.where(F.col("similarity") < SIMILAR).select(F.xxhash64("group", F.lit(1)).alias("group"), "node")
-        open_ = _open(inner.unionByName(outer), parts)
+        fresh = stored(similarities(stored(pairs), found, idf))
+        links = fresh.where(F.col("similarity") >= SIMILAR).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        if parts is not None:
+            links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        known = fresh.select("hub", "node") if known is None else known.unionByName(fresh.select("hub", "node"))
+        parts = components(links)
+        open_ = _open(open_.where(F.col("rank").isNull()).select("group", "node"), parts)
     joined = nodes.select("node", "least", "n")
     joined = joined.join(parts, "node", "left") if parts is not None else joined.withColumn("component", F.lit(None).cast("binary"))
     joined = joined.withColumn("component", F.coalesce("component", "node"))
