@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from commitloom.llm.tables import per_batch, texts
 
 #: Pieces remembered by one worker before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 # Fixed values of the public vocabulary's normaliser and splitter.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")

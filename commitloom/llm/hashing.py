@@ -14,7 +14,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text handled at once; a longer text is handled whole.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 LETTER = np.random.default_rng(20_24).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 SPACE = np.zeros(256, bool)

@@ -18,12 +18,23 @@ from pyspark.sql import functions as F
 from commitloom.session import shared_folder
 
 
+#: Rows of one Arrow batch: what a Python worker holds of its task at once.
+BATCH_ROWS = 2_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session handing whole texts to Python in batches of BATCH_ROWS rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text; a null text reads as empty."""
+    docs = in_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
