@@ -9,6 +9,8 @@ the words still missing are found. The last document is the one that fits the ga
 The cut along the ranking is found by counting words in ranges of rank, so no source is ever sorted whole:
 ranges and the rows of the range with the cut are both about the square root of the source's rows.
 
+Documents are taken whole, so a source comes as near its target as the sizes of its documents allow.
+
 Random numbers are hashes of seed and doc_id, so reruns agree. A null text has no words. A null source is a
 source of its own, last in order. Sources without words get target 0. Rows that repeat doc_id are separate
 rows. An empty table gives an empty result.
