@@ -110,7 +110,7 @@ function return change impact should happens startup architecture between withou
 where which
 """.split()
 
-# Path patterns of test files. The first three ignore case.
+# Path patterns of test files. The first four ignore case.
 TEST_PATH_PATTERNS = [
     r"(?i)(^|/)(__tests__|tests?|spec|specs)/",
     r"(?i)[._-](test|spec)\.[a-z0-9]+$",

@@ -53,12 +53,14 @@ def co_change_pairs(
 ) -> DataFrame:
     """How many commits touch both files of a pair, over commits of ``min_files..max_files`` files.
 
-    ``changes`` holds a file once per commit.
+    ``changes`` holds a file once per commit. A file counts as current in its own repository; a ``files``
+    table without repositories stands for all of them.
 
     A commit above the limit never reaches one task whole: the ranked filter drops its rows from
     the ``max_files + 2``-nd on before the shuffle, and the rest only shows that it is too big.
     """
-    current = changes.join(files.select("path").distinct(), "path", "left_semi").select(*by, "sha", "path")
+    keys = [c for c in [*by, "path"] if c in files.columns]
+    current = changes.join(files.select(*keys).distinct(), keys, "left_semi").select(*by, "sha", "path")
     bounded = top_per_group(current, [*by, "sha"], [F.col("path")], max_files + 1)
     sets = (
         bounded.groupBy(*by, "sha")

@@ -129,13 +129,17 @@ def snapshot_fingerprint(files: DataFrame, by: Sequence[str] = REPO, digits: int
 
 
 def find_duplicate_repos(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Known repositories with the same canonical address (and branch, where one is asked for)."""
+    """The first known repository with the same canonical address (and branch, where one is asked for)."""
     a = new.withColumn("identity", repo_key(F.col("url")))
     b = existing.select(
         repo_key(F.col("url")).alias("identity"), F.col("repo_id").alias("duplicate_of"),
         F.col("branch").alias("_branch"), "last_sync",
     )
-    return a.join(b, "identity").where(F.col("branch").isNull() | (F.col("branch") == F.col("_branch"))).drop("_branch", "identity")
+    # the first of each branch and the first of all, so a popular address meets one row, not all of its kind
+    first = F.min(F.struct("duplicate_of", "last_sync")).alias("_first")
+    known = b.where(F.col("_branch").isNotNull()).groupBy("identity", "_branch").agg(first).unionByName(b.groupBy("identity").agg(first).withColumn("_branch", F.lit(None).cast("string")))
+    same = (F.col("k.identity") == F.col("a.identity")) & F.col("k._branch").eqNullSafe(F.col("a.branch"))
+    return a.alias("a").join(known.alias("k"), same).select(*[F.col(f"a.{c}") for c in new.columns], F.col("k._first.duplicate_of"), F.col("k._first.last_sync"))
 
 
 def stale_repos(repos: DataFrame, now: Column, minutes: int = 10) -> DataFrame:

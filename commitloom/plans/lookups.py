@@ -197,7 +197,7 @@ def j21(t):
 
 @register("j22_find_duplicate_repo", """
 + k AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^http://', 'https://'), '^https://www[.]', 'https://'), '/+$', ''), '[.]git$', '')) AS key FROM pages)
-SELECT a.page_id, b.page_id AS duplicate_of FROM k a JOIN k b ON a.key = b.key""", "hrefs")
+SELECT a.page_id, min(b.page_id) AS duplicate_of FROM k a JOIN k b ON a.key = b.key GROUP BY a.page_id""", "hrefs")
 def j22(t):
     url = F.regexp_replace("url", "[?#].*$", "")
     new = t.pages.select("page_id", F.concat(F.regexp_replace(url, "/+$", ""), F.lit(".git/")).alias("url"), F.lit(None).cast("string").alias("branch"))
