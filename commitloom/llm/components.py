@@ -31,13 +31,29 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where(F.col("a") != F.col("b")).distinct()
 
 
+def _directed(links: DataFrame) -> DataFrame:
+    return links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def shortened(links: DataFrame, steps: int = 2) -> DataFrame:
+    """Links (a, b), stored, that connect the same nodes as ``links`` by shorter ways.
+
+    A fixed number of steps and no test of the result: families of hubs and their members become stars at once,
+    a longer chain of families may need another call with these links.
+    """
+    edges = _directed(links)
+    for _ in range(steps):
+        edges = _stars(edges)
+    return stored(edges)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) as (node, component): every linked node with the least node it is connected to.
 
     Each step points nodes at the least neighbour seen; rounds grow with the logarithm of a component's
     length and only two numbers per round reach the driver.
     """
-    edges, state = _measured(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges, state = _measured(_directed(links))
     before = None
     while state != before:
         before = state

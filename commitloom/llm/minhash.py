@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitloom.llm.components import components
+from commitloom.llm.components import components, shortened
 from commitloom.llm.hashing import LETTER, mixed, range_hashes, runs, word_spans
-from commitloom.llm.tables import per_batch, stored, texts
+from commitloom.llm.tables import per_batch, stored, stored_rows, texts
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -178,8 +178,8 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray) -> DataFra
         .mapInArrow(compare, "hub binary, node binary, similarity double"))
 
 
-def _open(groups: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Groups (group, node) whose members are not connected yet, each member with its rank as a hub.
+def _open(groups: DataFrame, parts: DataFrame | None) -> tuple[DataFrame, int]:
+    """Groups (group, node) whose members are not connected yet, each member with its rank as a hub; and their rows.
 
     Members of small components come first: one compared with all others of its group is done with.
     """
@@ -193,7 +193,7 @@ def _open(groups: DataFrame, parts: DataFrame | None) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("group").orderBy("own", F.xxhash64("node"), "node"))
     found = rows.join(own, ["group", "component"]).join(spread.select("group", "n"), "group")
     first = found.withColumn("rank", place).where((F.col("rank") <= SMALL_HUBS) & ((F.col("rank") <= HUBS) | (F.col("n") <= SMALL)))
-    return stored(found.join(first.select("group", "node", "rank"), ["group", "node"], "left").select("group", "node", "component", "rank"))
+    return stored_rows(found.join(first.select("group", "node", "rank"), ["group", "node"], "left").select("group", "node", "component", "rank"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,10 +210,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = stored(
         rows.select("doc_id", "node").join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "node").distinct()
         .join(given.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text"))
-    if given.where(F.col("doc_id").isNull()).limit(1).count() or rows.select("doc_id").distinct().count() < rows.count():
+    ids = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("own")).first()
+    if ids["own"] < ids["n"]:  # nulls are not counted as ids
         found = stored(_matching(found))
-    open_, known, parts = _open(members, None), None, None
-    while open_.limit(1).count():
+    open_, left = _open(members, None)
+    known = edges = None
+    while left:
         hubs = open_.where(F.col("rank").isNotNull()).select("group", F.col("node").alias("hub"), F.col("component").alias("part"), F.col("rank").alias("place"))
         pairs = (
             open_.join(hubs, "group").where((F.col("component") != F.col("part")) & (F.col("rank").isNull() | (F.col("rank") > F.col("place"))))
@@ -222,13 +224,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(known, ["hub", "node"], "left_anti")
         fresh = stored(similarities(stored(pairs), found, idf))
         links = fresh.where(F.col("similarity") >= SIMILAR).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        if parts is not None:
-            links = links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
         known = fresh.select("hub", "node") if known is None else known.unionByName(fresh.select("hub", "node"))
-        parts = components(links)
-        open_ = _open(open_.where(F.col("rank").isNull()).select("group", "node"), parts)
+        edges = shortened(links if edges is None else links.unionByName(edges))
+        # in a round a node goes by its least neighbour: a chain not yet short may keep a group open, never close it
+        parts = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        open_, left = _open(open_.where(F.col("rank").isNull()).select("group", "node"), parts)
     joined = nodes.select("node", "least", "n")
-    joined = joined.join(parts, "node", "left") if parts is not None else joined.withColumn("component", F.lit(None).cast("binary"))
+    joined = joined.join(components(edges), "node", "left") if edges is not None else joined.withColumn("component", F.lit(None).cast("binary"))
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     classes = joined.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = joined.select("node", "component").join(classes, "component").select("node", "class_id", "class_size")

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from commitloom.session import shared_folder
@@ -46,6 +46,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``stored``, with the number of rows, counted while they are written."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
 def width(df: DataFrame, rows: int, least: int = 1) -> int:
     """How many partitions hold about ``rows`` rows each, never fewer than the session's own number."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
