@@ -25,26 +25,23 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
     return small.where(F.col("a") != F.col("b")).distinct()
 
 
 def _directed(links: DataFrame) -> DataFrame:
-    return links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def shortened(links: DataFrame, steps: int = 2) -> DataFrame:
+def shortened(links: DataFrame) -> DataFrame:
     """Links (a, b), stored, that connect the same nodes as ``links`` by shorter ways.
 
-    A fixed number of steps and no test of the result: families of hubs and their members become stars at once,
-    a longer chain of families may need another call with these links.
+    One step and no test of the result: a family of hubs and their members becomes a star at once, a chain of
+    families needs further calls with these links.
     """
-    edges = _directed(links)
-    for _ in range(steps):
-        edges = _stars(edges)
-    return stored(edges)
+    return stored(_stars(_directed(links)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -53,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     Each step points nodes at the least neighbour seen; rounds grow with the logarithm of a component's
     length and only two numbers per round reach the driver.
     """
-    edges, state = _measured(_directed(links))
+    edges, state = _measured(_directed(links).distinct())
     before = None
     while state != before:
         before = state

@@ -37,7 +37,8 @@ COUNTERS = 1 << 16
 IDF_FLOOR = 0.9
 #: Members of a group that one task compares with a hub.
 MEMBERS = 512
-#: Hubs a round takes from a group; from one of up to SMALL members SMALL_HUBS.
+#: Hubs a round takes from a group; from one of up to SMALL members SMALL_HUBS. The first round, in which no
+#: member is connected yet, takes one: most members of a family are copies of any of them.
 HUBS, SMALL, SMALL_HUBS = 8, 128, 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -192,7 +193,8 @@ def _open(groups: DataFrame, parts: DataFrame | None) -> tuple[DataFrame, int]:
     spread = own.groupBy("group").agg(F.sum("own").alias("n"), F.count("*").alias("parts")).where(F.col("parts") > 1)
     place = F.row_number().over(Window.partitionBy("group").orderBy("own", F.xxhash64("node"), "node"))
     found = rows.join(own, ["group", "component"]).join(spread.select("group", "n"), "group")
-    first = found.withColumn("rank", place).where((F.col("rank") <= SMALL_HUBS) & ((F.col("rank") <= HUBS) | (F.col("n") <= SMALL)))
+    hubs = F.lit(1) if parts is None else F.when(F.col("n") <= SMALL, SMALL_HUBS).otherwise(HUBS)
+    first = found.withColumn("rank", place).where((F.col("rank") <= (1 if parts is None else SMALL_HUBS)) & (F.col("rank") <= hubs))
     return stored_rows(found.join(first.select("group", "node", "rank"), ["group", "node"], "left").select("group", "node", "component", "rank"))
 
 

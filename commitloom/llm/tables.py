@@ -20,6 +20,8 @@ from commitloom.session import shared_folder
 
 #: Rows of one Arrow batch: what a Python worker holds of its task at once.
 BATCH_ROWS = 2_000
+#: Characters of plan text the driver keeps for each of its latest jobs; unlimited by default, which adds up over rounds.
+PLAN_TEXT = 8_192
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, sizes are known."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
