@@ -159,7 +159,9 @@ def retrieve(
     ``chunks`` holds (doc_id, path, owner, chunk_index, entity_name, text); ``seeds`` (query_id, key,
     position). Without vectors the mode is keyword only.
     """
-    lists = [candidate_list(bm25(queries, chunks), "keyword")]
+    # words of the path and the entity's name find a chunk as words of its text do
+    indexed = chunks.select("doc_id", F.concat_ws(" ", "path", "entity_name", "text").alias("text"))
+    lists = [candidate_list(bm25(queries, indexed), "keyword")]
     if vectors is not None and query_vectors is not None:
         lists.append(candidate_list(vector_topk(query_vectors, vectors), "semantic"))
     lists.append(candidate_list(chunks_for_nodes(seeds.withColumn("node_position", F.col("position")), chunks, 3), "graph-match"))

@@ -235,6 +235,15 @@ final AS (SELECT f.query_id, f.doc_id, t.path, f.score + CASE WHEN o.doc_id IS N
 picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS position FROM final) WHERE position <= 10)"""
 
 
+# Chunks are indexed with their path (these have no entity name); seeds are still found by words of the text.
+_TEXT_WORDS = tokens_sql("texts", "doc_id", "text", "dtok")
+_INDEXED_WORDS = tokens_sql("texts", "doc_id", "text", "stok") + ", " + tokens_sql("texts", "doc_id", "concat_ws(' ', path, text)", "dtok")
+RETRIEVED = RETRIEVED.replace(_TEXT_WORDS, _INDEXED_WORDS).replace(
+    "max(p.tf) AS tf FROM (SELECT DISTINCT query_id, term FROM qtok) q JOIN posting p",
+    "max(p.tf) AS tf FROM (SELECT DISTINCT query_id, term FROM qtok) q JOIN (SELECT doc_id, term, count(*) AS tf FROM stok GROUP BY 1, 2) p",
+)
+
+
 def retrieved(t):
     return Q.retrieve(t.questions, graph_chunks(t), document_seeds(t), document_neighbours(t))
 
