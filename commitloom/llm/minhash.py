@@ -5,10 +5,13 @@ frequency that is damped to 0.9..1, so the threshold keeps its meaning next to p
 frequencies are counted over all documents in a table of hashed shingles of fixed size. Each text gets
 BANDS x ROWS consistent weighted samples; texts that agree in a band meet in a group.
 
-Groups are settled by a few hubs at a time: every member that is not connected to a hub yet is compared with
-it by exact weighted Jaccard, hubs are then done with, and a group is closed once it is connected. Hubs come
-from the smallest components, so the one large family of a hot group is settled after the few that stand
-apart from it, not member by member. Texts with equal words are one node from the start.
+Every group has one hub, the member that shares bands with the most texts, and each member is compared with it
+by exact weighted Jaccard. Members of one hub that are still apart are compared where a link is possible at all.
+Seen from the hub a text has shingles inside and outside the hub's set. Two texts that are similar share one of
+the first outside shingles, which hold just over 1 - SIMILAR of each text's weight, or their inside weights alone
+reach the overlap they need. Both are equi joins that lose no link; pairs ruled out by their weights, or by the
+triangle inequality of the distance to the hub, are not compared. So two rounds settle groups of every size. Texts
+with equal words are one node from the start.
 
 Null and empty texts have no shingles; they are copies of each other. Texts of fewer than five words have
 one shingle of all their words. A class is named by its least doc_id; rows without doc_id come last.
@@ -22,12 +25,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitloom.llm.components import components, shortened
 from commitloom.llm.hashing import LETTER, mixed, range_hashes, runs, word_spans
-from commitloom.llm.tables import per_batch, stored, stored_rows, texts
+from commitloom.llm.tables import per_batch, stored, texts
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -37,9 +40,10 @@ COUNTERS = 1 << 16
 IDF_FLOOR = 0.9
 #: Members of a group that one task compares with a hub.
 MEMBERS = 512
-#: Hubs a round takes from a group; from one of up to SMALL members SMALL_HUBS. The first round, in which no
-#: member is connected yet, takes one: most members of a family are copies of any of them.
-HUBS, SMALL, SMALL_HUBS = 8, 128, 32
+#: Room for rounding in bounds that rule pairs out.
+SLACK = 1e-3
+#: Cells per unit of the logarithm of a weight.
+CELLS = 100
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -137,11 +141,13 @@ def sampled(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.mapInArrow(per_batch(step), "doc_id long, node binary, keys array<long>")
 
 
-def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray) -> DataFrame:
+def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray, outside: bool = False) -> DataFrame:
     """``pairs`` (hub, node) with their exact weighted Jaccard similarity.
 
     ``found`` (node, text) holds every text asked for. A hub's members are dealt over as many tasks as they
-    need, the hub's text goes to each of them, and a task holds one hub at a time.
+    need, the hub's text goes to each of them, and a task holds one hub at a time. Also the node's weight, the
+    part of it ``inside`` the hub's shingles and, where asked for, the first shingles ``outside`` them in the
+    order of their hashes, up to just over 1 - SIMILAR of the weight.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("shares"))
@@ -155,7 +161,7 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray) -> DataFra
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple | None = None
         for batch in batches:
-            a, b, out = [], [], []
+            a, b, out, weight, inside, first_outside = [], [], [], [], [], []
             names, nodes, parts = (batch.column(c).to_pylist() for c in ("hub", "node", "part"))
             for first, data, offsets in runs(batch.column("text")):
                 hashes, weights, owner, _ = weighted(data, offsets, shared.value)
@@ -172,30 +178,77 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray) -> DataFra
                     a.append(names[first + i])
                     b.append(nodes[first + i])
                     out.append(float(both / max(1e-9, hub[2] + w.sum() - both)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(out, pa.float64())], names=["hub", "node", "similarity"])
+                    weight.append(float(w.sum()))
+                    inside.append(float(w[hit].sum()))
+                    other = np.ones(len(h) if outside else 0, bool)
+                    other[hit[:len(hit) if outside else 0]] = False
+                    other = np.flatnonzero(other)
+                    before = np.cumsum(w[other], dtype=np.float64) - w[other]
+                    first_outside.append(h[other[before <= (1 - SIMILAR + SLACK) * w.sum()]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.array(x, pa.float64()) for x in (out, weight, inside)), pa.array(first_outside, pa.list_(pa.int64()))],
+                names=["hub", "node", "similarity", "weight", "inside", "outside"])
 
     return (
         hubs.unionByName(members).repartition("hub", "share").sortWithinPartitions("hub", "share", "part")
-        .mapInArrow(compare, "hub binary, node binary, similarity double"))
+        .mapInArrow(compare, "hub binary, node binary, similarity double, weight double, inside double, outside array<long>"))
 
 
-def _open(groups: DataFrame, parts: DataFrame | None) -> tuple[DataFrame, int]:
-    """Groups (group, node) whose members are not connected yet, each member with its rank as a hub; and their rows.
+def _stars(members: DataFrame) -> DataFrame:
+    """(hub, node): every member of a group beside the group's hub, the one that shares bands with the most texts."""
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    hubs = (
+        members.join(central, "node").groupBy("group").agg(F.min(F.struct((-F.col("central")).alias("central"), "node")).alias("hub"))
+        .select("group", F.col("hub.node").alias("hub")))
+    return members.join(hubs, "group").where(F.col("hub") != F.col("node")).select("hub", "node").distinct()
+
+
+def _apart(stars: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of hubs whose members are not all connected, with their component and whether it is the hub's largest.
 
-    Members of small components come first: one compared with all others of its group is done with.
+    A node goes by its least neighbour in ``edges``: a chain not yet short may keep a hub open, never close it.
     """
-    rows = groups
-    if parts is None:
-        rows = rows.withColumn("component", F.col("node"))
-    else:
-        rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = rows.groupBy("group", "component").agg(F.count("*").alias("own"))
-    spread = own.groupBy("group").agg(F.sum("own").alias("n"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-    place = F.row_number().over(Window.partitionBy("group").orderBy("own", F.xxhash64("node"), "node"))
-    found = rows.join(own, ["group", "component"]).join(spread.select("group", "n"), "group")
-    hubs = F.lit(1) if parts is None else F.when(F.col("n") <= SMALL, SMALL_HUBS).otherwise(HUBS)
-    first = found.withColumn("rank", place).where((F.col("rank") <= (1 if parts is None else SMALL_HUBS)) & (F.col("rank") <= hubs))
-    return stored_rows(found.join(first.select("group", "node", "rank"), ["group", "node"], "left").select("group", "node", "component", "rank"))
+    parts = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    rows = stars.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = rows.groupBy("hub", "component").agg(F.count("*").alias("own"))
+    largest = own.groupBy("hub").agg(F.max(F.struct("own", "component")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1)
+    return rows.join(largest.select("hub", F.col("top.component").alias("top")), "hub").withColumn("main", F.col("component") == F.col("top")).drop("top")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(hub, node): pairs of ``rows`` of one hub, of different components, that can be similar; see the module's head."""
+    columns = ["node", "component", "main", "similarity", "weight", "inside"]
+
+    def side(name: str, *more: Column) -> DataFrame:
+        return rows.select("hub", *more, *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+    needed = (F.col("a_weight") + F.col("b_weight")) * (SIMILAR / (1 + SIMILAR) * (1 - SLACK))
+    inside = F.least("a_inside", "b_inside")
+    possible = (
+        (F.col("a_component") != F.col("b_component"))
+        & (F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * (SIMILAR - SLACK))
+        & (F.abs(F.col("a_similarity") - F.col("b_similarity")) <= 1 - SIMILAR + SLACK)
+        & (inside + F.least(F.col("a_weight") - F.col("a_inside"), F.col("b_weight") - F.col("b_inside")) >= needed))
+    # of two components at most one is the hub's largest; that side never leads
+    sharing = (
+        side("a", F.explode("outside").alias("shingle")).where(~F.col("a_main"))
+        .join(side("b", F.explode("outside").alias("shingle")), ["hub", "shingle"])
+        .where(possible & (F.col("b_main") | (F.col("a_node") < F.col("b_node")))))
+
+    def cell(weight: Column) -> Column:
+        return F.floor(F.log(weight) * CELLS).cast("int")
+
+    # the text with less inside, a, needs a partner with both its weights between a's inside weight and this end
+    end = F.col("inside") * ((1 + SIMILAR) / SIMILAR) - F.col("weight")
+    low, high = F.col("inside") * (1 - SLACK), F.greatest(end, F.col("inside")) * (1 + SLACK)
+    reach = F.explode(F.when(F.col("inside") >= F.col("weight") * (SIMILAR - SLACK), F.sequence(cell(low), cell(high)))).alias("cell")
+    less = (F.col("a_inside") <= F.col("b_inside") * (1 + SLACK)) & (inside >= needed) & possible
+    by_weight = side("a", reach).where(~F.col("a_main")).join(side("b", cell(F.col("weight")).alias("cell")), ["hub", "cell"]).where(less)
+    by_inside = (
+        side("a", reach).where(F.col("a_main"))
+        .join(side("b", cell(F.col("inside")).alias("cell")).where(~F.col("b_main") & (F.col("b_inside") > 0)), ["hub", "cell"]).where(less))
+    leading = [x.select(F.col(f"{p}_node").alias("hub"), F.col(f"{q}_node").alias("node")) for x, p, q in ((sharing, "a", "b"), (by_weight, "a", "b"), (by_inside, "b", "a"))]
+    return leading[0].unionByName(leading[1]).unionByName(leading[2]).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a text's keys do not depend on the row, so the least array is every row's array
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("keys").alias("keys")))
     banded = nodes.select("node", F.posexplode("keys")).where(F.col("col") != 0).select("node", F.xxhash64("pos", "col").alias("group"))
-    full = banded.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("group")
+    full = banded.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = stored(banded.join(full, "group"))
     wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node")
     found = stored(
@@ -215,25 +268,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("own")).first()
     if ids["own"] < ids["n"]:  # nulls are not counted as ids
         found = stored(_matching(found))
-    open_, left = _open(members, None)
-    known = edges = None
-    while left:
-        hubs = open_.where(F.col("rank").isNotNull()).select("group", F.col("node").alias("hub"), F.col("component").alias("part"), F.col("rank").alias("place"))
-        pairs = (
-            open_.join(hubs, "group").where((F.col("component") != F.col("part")) & (F.col("rank").isNull() | (F.col("rank") > F.col("place"))))
-            .select("hub", "node").distinct())
-        if known is not None:
-            pairs = pairs.join(known, ["hub", "node"], "left_anti")
-        fresh = stored(similarities(stored(pairs), found, idf))
-        links = fresh.where(F.col("similarity") >= SIMILAR).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        known = fresh.select("hub", "node") if known is None else known.unionByName(fresh.select("hub", "node"))
-        edges = shortened(links if edges is None else links.unionByName(edges))
-        # in a round a node goes by its least neighbour: a chain not yet short may keep a group open, never close it
-        parts = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-        open_, left = _open(open_.where(F.col("rank").isNull()).select("group", "node"), parts)
+    stars = stored(similarities(stored(_stars(members)), found, idf, outside=True))
+    alike = F.col("similarity") >= SIMILAR
+    ends = [F.col("hub").alias("a"), F.col("node").alias("b")]
+    edges = shortened(stars.where(alike).select(*ends))
+    pairs = stored(_candidates(stored(_apart(stars, edges))))
+    edges = edges.unionByName(similarities(pairs, found, idf).where(alike).select(*ends))
     joined = nodes.select("node", "least", "n")
-    joined = joined.join(components(edges), "node", "left") if edges is not None else joined.withColumn("component", F.lit(None).cast("binary"))
-    joined = joined.withColumn("component", F.coalesce("component", "node"))
+    joined = joined.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = joined.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = joined.select("node", "component").join(classes, "component").select("node", "class_id", "class_size")
     return rows.select("doc_id", "node").join(named, "node").select(

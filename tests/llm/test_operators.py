@@ -273,6 +273,46 @@ def test_near_duplicates(docs, empty, rows):
     assert without_near_copies(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_one_hub_lose_no_link(spark):
+    """One group of three families of edited texts: classes equal those of all pairs, from far fewer comparisons."""
+    import commitloom.llm.minhash as M
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for family, (n, most) in enumerate([(90, 14), (40, 10), (25, 30)]):
+        base = [f"w{family}x{i}" if i > 30 else f"common{i}" for i in range(150)]
+        for _ in range(n):
+            words = list(base)
+            for at in rng.integers(0, 150, rng.integers(0, most)):
+                words[at] = f"e{rng.integers(0, 60)}"
+            texts.append(" ".join(words[: 150 - int(rng.integers(0, 25))]))
+    texts += [" ".join(["same"] * 40), " ".join(f"only{i}" for i in range(30))]
+    texts = sorted(set(texts))
+    idf = np.ones(M.COUNTERS, np.float32)
+    ids = [bytes([i]) for i in range(len(texts))]
+    found = spark.createDataFrame(list(zip(ids, texts)), "node binary, text string")
+    members = found.selectExpr("node", "1L AS group", f"{len(ids)}L AS n")
+    stars = M.stored(M.similarities(M._stars(members), found, idf, outside=True))
+    edges = M.shortened(stars.where("similarity >= 0.8").selectExpr("hub AS a", "node AS b"))
+    pairs = M._candidates(M._apart(stars, edges))
+    links = edges.unionByName(M.similarities(pairs, found, idf).where("similarity >= 0.8").selectExpr("hub AS a", "node AS b"))
+    classes = {bytes(r.node): bytes(r.component) for r in M.components(links).collect()}
+    sets = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        h, w, _, _ = M.weighted(data, np.array([0, len(data)]), idf)
+        sets.append(dict(zip(h.tolist(), w.tolist())))
+    top = dict(zip(ids, ids))
+    for (a, x), (b, y) in itertools.combinations(zip(ids, sets), 2):
+        low = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+        if low / (sum(x.values()) + sum(y.values()) - low) >= 0.8:
+            old, new = max(top[a], top[b]), min(top[a], top[b])
+            top = {k: new if v == old else v for k, v in top.items()}
+    assert {i: classes.get(i, i) for i in ids} == top
+    assert 5 < len(set(top.values())) < len(ids) - 5
+    assert pairs.count() < len(ids) * (len(ids) - 1) // 4
+
+
 def test_components(spark):
     from commitloom.llm.components import components
 
