@@ -8,8 +8,8 @@ BANDS x ROWS consistent weighted samples; texts that agree in a band meet in a g
 Every group has one hub, the member that shares bands with the most texts, and each member is compared with it
 by exact weighted Jaccard. Members of one hub that are still apart are compared where a link is possible at all.
 Seen from the hub a text has shingles inside and outside the hub's set. Two texts that are similar share one of
-the first outside shingles, which hold just over 1 - SIMILAR of each text's weight, or their inside weights alone
-reach the overlap they need. Both are equi joins that lose no link; pairs ruled out by their weights, or by the
+their first outside shingles, rare ones first, which hold just over 1 - SIMILAR of each text's weight, early enough
+that what is left from there on suffices, or their inside weights alone reach the overlap they need. Both are equi joins that lose no link; pairs ruled out by their weights, or by the
 triangle inequality of the distance to the hub, are not compared. So two rounds settle groups of every size. Texts
 with equal words are one node from the start.
 
@@ -146,8 +146,9 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray, outside: b
 
     ``found`` (node, text) holds every text asked for. A hub's members are dealt over as many tasks as they
     need, the hub's text goes to each of them, and a task holds one hub at a time. Also the node's weight, the
-    part of it ``inside`` the hub's shingles and, where asked for, the first shingles ``outside`` them in the
-    order of their hashes, up to just over 1 - SIMILAR of the weight.
+    part of it ``inside`` the hub's shingles and, where asked for, the first shingles ``outside`` them, rare ones
+    first and else by their hashes, up to just over 1 - SIMILAR of the weight, each with the outside weight
+    ``left`` from it on.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("shares"))
@@ -161,7 +162,7 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray, outside: b
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple | None = None
         for batch in batches:
-            a, b, out, weight, inside, first_outside = [], [], [], [], [], []
+            a, b, out, weight, inside, first_outside, left = [], [], [], [], [], [], []
             names, nodes, parts = (batch.column(c).to_pylist() for c in ("hub", "node", "part"))
             for first, data, offsets in runs(batch.column("text")):
                 hashes, weights, owner, _ = weighted(data, offsets, shared.value)
@@ -183,15 +184,18 @@ def similarities(pairs: DataFrame, found: DataFrame, idf: np.ndarray, outside: b
                     other = np.ones(len(h) if outside else 0, bool)
                     other[hit[:len(hit) if outside else 0]] = False
                     other = np.flatnonzero(other)
+                    other = other[np.argsort(-shared.value[(h[other] >> np.uint64(48)).astype(np.int64)], kind="stable")]
                     before = np.cumsum(w[other], dtype=np.float64) - w[other]
-                    first_outside.append(h[other[before <= (1 - SIMILAR + SLACK) * w.sum()]].view(np.int64))
+                    near = before <= (1 - SIMILAR + SLACK) * w.sum()
+                    first_outside.append(h[other[near]].view(np.int64))
+                    left.append(w[other].sum() - before[near])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.array(x, pa.float64()) for x in (out, weight, inside)), pa.array(first_outside, pa.list_(pa.int64()))],
-                names=["hub", "node", "similarity", "weight", "inside", "outside"])
+                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.array(x, pa.float64()) for x in (out, weight, inside)), pa.array(first_outside, pa.list_(pa.int64())), pa.array(left, pa.list_(pa.float64()))],
+                names=["hub", "node", "similarity", "weight", "inside", "outside", "left"])
 
     return (
         hubs.unionByName(members).repartition("hub", "share").sortWithinPartitions("hub", "share", "part")
-        .mapInArrow(compare, "hub binary, node binary, similarity double, weight double, inside double, outside array<long>"))
+        .mapInArrow(compare, "hub binary, node binary, similarity double, weight double, inside double, outside array<long>, left array<double>"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -229,11 +233,14 @@ def _candidates(rows: DataFrame) -> DataFrame:
         & (F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * (SIMILAR - SLACK))
         & (F.abs(F.col("a_similarity") - F.col("b_similarity")) <= 1 - SIMILAR + SLACK)
         & (inside + F.least(F.col("a_weight") - F.col("a_inside"), F.col("b_weight") - F.col("b_inside")) >= needed))
+    def first(name: str) -> DataFrame:
+        of = rows.select("hub", "left", *(F.col(c).alias(f"{name}_{c}") for c in columns), F.posexplode("outside").alias("pos", "shingle"))
+        return of.withColumn(f"{name}_left", F.col("left")[F.col("pos")]).drop("pos", "left")
+
     # of two components at most one is the hub's largest; that side never leads
     sharing = (
-        side("a", F.explode("outside").alias("shingle")).where(~F.col("a_main"))
-        .join(side("b", F.explode("outside").alias("shingle")), ["hub", "shingle"])
-        .where(possible & (F.col("b_main") | (F.col("a_node") < F.col("b_node")))))
+        first("a").where(~F.col("a_main")).join(first("b"), ["hub", "shingle"])
+        .where(possible & (inside + F.least("a_left", "b_left") >= needed) & (F.col("b_main") | (F.col("a_node") < F.col("b_node")))))
 
     def cell(weight: Column) -> Column:
         return F.floor(F.log(weight) * CELLS).cast("int")
