@@ -8,6 +8,9 @@ below it. Walking the common prefixes of the sorted suffixes from long to short,
 are merged, smaller into larger, in order of their left sides; neighbours in that order agree longest, so
 each merge tells exactly which windows recur. No two slices are compared but such neighbours.
 
+Rows are written once with a batch and a number in it; every scan reads these names from the rows, so it does not
+matter where a scan cuts its own Arrow batches.
+
 A byte is removed when a window that also starts elsewhere covers it, whichever stands first. Null and
 empty texts have no bytes; texts under 200 bytes lose none. Each row is a place of its own: rows that repeat
 a text of 200 bytes or more lose all of it.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from commitloom.llm.hashing import LETTER, runs
 from commitloom.llm.repeats import anchor_hashes, anchored, batch_number, pack, recurring_filter, recurs, unpack
-from commitloom.llm.tables import texts, width
+from commitloom.llm.tables import stored, texts, width
 
 WINDOW = 200
 GRAM = 32
@@ -213,20 +216,43 @@ def _slices(column: pa.Array, bitmap: np.ndarray) -> dict[bytes, list]:
     return out
 
 
-def _sent(docs: DataFrame, bitmap: np.ndarray, shards: int) -> DataFrame:
-    """(shard, batch, blob): the distinct slices of each batch, whether they stand there twice, else where."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _named(docs: DataFrame) -> DataFrame:
+    """Every row with the name of its batch and its number there, as stored columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            parts: dict[int, list] = {}
-            for piece, (anchor, left, row, start, *more) in _slices(batch.column("text"), shared.value).items():
-                parts.setdefault(anchor % shards, []).append((piece, anchor, left, -1 if more else row, start))
-            blobs = [pack(*zip(*rows)) for rows in parts.values()]
+        for position, batch in enumerate(batches):
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(parts), pa.int32()), pa.array([batch_number(number)] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "batch", "blob"])
+                [pa.array(np.full(n, batch_number(position))), pa.array(np.arange(n, dtype=np.int32)), batch.column("doc_id"), batch.column("text")],
+                names=["batch", "row", "doc_id", "text"])
+
+    return stored(docs.mapInArrow(run, "batch long, row int, doc_id long, text string"))
 
-    return docs.select("text").mapInArrow(run, "shard int, batch long, blob binary")
+
+def _sent(named: DataFrame, bitmap: np.ndarray, shards: int) -> DataFrame:
+    """(shard, batch, blob): the distinct slices of each batch, whether they stand there twice, else where.
+
+    A batch that a scan hands over in parts is sent in parts.
+    """
+    shared = named.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("batch").to_numpy()
+            rows = batch.column("row").to_numpy()
+            bounds = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for begin, end in zip(bounds, bounds[1:]):
+                if begin == end:
+                    continue
+                own = rows[begin:end].tolist()
+                parts: dict[int, list] = {}
+                for piece, (anchor, left, at, start, *more) in _slices(batch.column("text").slice(begin, end - begin), shared.value).items():
+                    parts.setdefault(anchor % shards, []).append((piece, anchor, left, -1 if more else own[at], start))
+                blobs = [pack(*zip(*found)) for found in parts.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(parts), pa.int32()), pa.array([int(names[begin])] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "batch", "blob"])
+
+    return named.select("batch", "row", "text").mapInArrow(run, "shard int, batch long, blob binary")
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +327,11 @@ def _removed(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[
 
 def repeats_removed(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    given = texts(docs)
+    given = _named(texts(docs))
     shards = width(given, SHARD_ROWS)
     bitmap = recurring_filter(anchor_hashes(given, _bytes, WINDOW, GRAM))
     found = _sent(given, bitmap, shards).repartition(shards, "shard").mapInArrow(_found, "batch long, blob binary")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, batch_number(k))), pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, pa.binary()), batch.column("doc_id"), batch.column("text")],
-                names=["batch", "row", "blob", "doc_id", "text"])
-
-    both = given.mapInArrow(number, "batch long, row int, blob binary, doc_id long, text string").unionByName(found, allowMissingColumns=True)
+    both = given.withColumn("blob", F.lit(None).cast("binary")).unionByName(found, allowMissingColumns=True)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     return (
         both.repartition(shards, "batch").sortWithinPartitions("batch", F.col("row").asc_nulls_first())

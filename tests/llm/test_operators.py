@@ -176,6 +176,32 @@ def test_suffixes(docs, empty, rows):
     assert found == expected
 
 
+@pytest.mark.parametrize("most_bytes", ["20000", "64MB"])
+def test_suffixes_where_scans_cut_batches_by_bytes(spark, most_bytes):
+    """Rows whose Arrow batches are cut by bytes: a small cut, and over 64 MB of text under the default one."""
+    from commitloom.llm.suffixes import repeats_removed
+    from commitloom.llm.tables import stored
+
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    sizes = [rng.randint(50, 700) for _ in range(1600)] if most_bytes == "20000" else [((64 << 20) - 40_000) // 60] * 60 + [100] * 1600
+    rows, gone = [], {}
+    for n, size in enumerate(sizes):
+        edge = chr(33 + n // 20) if n % 20 == 1 else ""  # no two of the copies have a neighbour letter in common
+        rows.append((n, rng.randbytes((size + 1) // 2).hex()[:size] + (edge + shared + edge if edge else "")))
+        gone[n] = 300 if edge else 0
+    kept = {i: hashlib.sha256(t.replace(shared, "").encode()).hexdigest() for i, t in rows}
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, most_bytes)
+        table = stored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id"))
+        found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats_removed(table).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert found == {i: (gone[i], kept[i]) for i, _ in rows}
+
+
 def test_deep_shallow_order():
     from commitloom.llm.suffixes import common, deep_shallow
 
