@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom.llm.tables import per_batch, texts, width
+from commitloom.llm.tables import in_batches, per_batch, text_of, texts, width
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -115,13 +115,15 @@ class LiveIndex:
         return ((k, v[0], v[1]) for k, v in self.content.items())
 
 
+def _digest(column: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_py().translate(_LOWER)).digest() for x in column.cast(pa.large_binary())], pa.binary())
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of each whole text after lowering A-Z."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column("text").cast(pa.large_binary())
-        out = [hashlib.sha256(x.as_py().translate(_LOWER)).digest() for x in column]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "digest"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), _digest(batch.column("text"))], names=["doc_id", "digest"])
 
     return texts(docs).mapInArrow(per_batch(step), "doc_id long, digest binary")
 
@@ -174,6 +176,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts the one with the largest doc_id."""
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stay: of equal texts the one with the largest doc_id.
+
+    A row goes by doc_id and digest, so rows of other texts under the same doc_id, or without one, stay.
+    """
+    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__digest")).distinct()
+    named = in_batches(docs).withColumn("__own", F.arrow_udf(_digest, "binary")(text_of()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__digest"))
+    return named.join(gone, same, "left_anti").drop("__own")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from commitloom.llm.components import components, shortened
 from commitloom.llm.hashing import LETTER, mixed, range_hashes, runs, word_spans
-from commitloom.llm.tables import per_batch, stored, texts
+from commitloom.llm.tables import in_batches, per_batch, stored, text_of, texts
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -58,16 +58,25 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return (1 / r).astype(np.float32), np.stack([r, np.log(c) - r + r * beta, beta]).astype(np.float32), odd, rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: (hash, count, text number), and a 128-bit hash of its words."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text number of each word, first and last word of each text, and a 128-bit hash of its words."""
     lowered = _LOWER[data]
     starts, ends, text = word_spans(lowered, offsets)
     words = range_hashes(LETTER[lowered], starts, ends)
-    n = len(offsets) - 1
-    counts = np.bincount(text, minlength=n)
+    counts = np.bincount(text, minlength=len(offsets) - 1)
     last = np.cumsum(counts)
     first = last - counts
-    same = np.stack([range_hashes(words, first, last), range_hashes(mixed(words), first, last)], axis=1)
+    return words, text, first, last, np.stack([range_hashes(words, first, last), range_hashes(mixed(words), first, last)], axis=1)
+
+
+def _node(column: pa.Array) -> pa.Array:
+    """The hash of the words of each text, which names its node."""
+    return pa.array([row.tobytes() for _, data, offsets in runs(column) for row in _words(data, offsets)[4]], pa.binary())
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: (hash, count, text number), and a 128-bit hash of its words."""
+    words, text, first, last, same = _words(data, offsets)
     here = np.arange(len(words))
     begin = here[(here == first[text]) | (here + SHINGLE <= last[text])]
     hashes = range_hashes(words, begin, np.minimum(begin + SHINGLE, last[text[begin]]))
@@ -260,6 +269,11 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept."""
+    return _decided(docs).drop("node")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the node of each row."""
     given = texts(docs)
     idf = document_frequencies(given)
     rows = stored(sampled(given, idf))
@@ -286,20 +300,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = joined.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = joined.select("node", "component").join(classes, "component").select("node", "class_id", "class_size")
     return rows.select("doc_id", "node").join(named, "node").select(
-        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        "doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def _matching(found: DataFrame) -> DataFrame:
     """Only texts whose words hash to the node: doc_ids that repeat or are null bring other rows' texts along."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = [row.tobytes() for _, data, offsets in runs(batch.column("text")) for row in shingles(data, offsets)[3]]
+        names = _node(batch.column("text")).to_pylist()
         return batch.filter(pa.array([a == b for a, b in zip(names, batch.column("node").to_pylist())], pa.bool_()))
 
     return found.mapInArrow(per_batch(step), found.schema)
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the least doc_id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stay: of each class the one with the least doc_id.
+
+    A row goes by doc_id and node, so rows of other texts under the same doc_id, or without one, stay.
+    """
+    gone = _decided(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("node").alias("__node")).distinct()
+    named = in_batches(docs).withColumn("__own", F.arrow_udf(_node, "binary")(text_of()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__node"))
+    return named.join(gone, same, "left_anti").drop("__own")

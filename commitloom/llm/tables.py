@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from commitloom.session import shared_folder
@@ -34,10 +34,15 @@ def in_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def text_of() -> Column:
+    """The text of a row; a null text reads as empty."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text; a null text reads as empty."""
     docs = in_batches(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
 def stored(df: DataFrame) -> DataFrame:

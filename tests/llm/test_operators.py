@@ -248,6 +248,25 @@ def test_exact_copies(docs, empty, rows):
     assert E.without_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("kind", ["exact", "near"])
+def test_copies_go_alone_where_doc_ids_are_null_or_repeat(spark, kind):
+    from commitloom.llm import exact, minhash
+
+    rng = random.Random(12)
+    copy, a, b, c, d, lone = (_sentences(rng, 80) for _ in range(6))
+
+    def text(words, at):  # near copies have one word changed
+        return " ".join([*words[:at], "other", *words[at + 1:]] if kind == "near" else words)
+
+    rows = [(5, text(copy, 1)), (None, text(copy, 30)), (7, text(copy, 50)), (9, text(copy, 70)), (None, text(a, 3)), (None, text(b, 3)), (7, text(c, 3)), (9, text(d, 3)),
+            (5, text(a[:40] + b[:40], 3)), (None, text(lone, 1)), (None, text(lone, 60)), (None, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = exact.without_copies(docs) if kind == "exact" else minhash.without_near_copies(docs)
+    gone = Counter([(i, t) for i, t in rows[:4] if i != (9 if kind == "exact" else 5)] + [(None, None)])
+    assert kept.columns == docs.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(rows) - gone
+
+
 def test_cuckoo_filter_grows_and_forgets():
     from commitloom.llm.exact import LiveIndex
 
