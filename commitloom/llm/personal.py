@@ -7,6 +7,8 @@ the entity away. Terms above REMOVE are removed, above GENERALISE replaced by th
 the entity, so a document without personal data never changes. Counts are numbers of documents, over all
 documents; a pair must meet in SUPPORT documents before anything can be said about it.
 
+A term is a run of Unicode letters, near an entity and in the counts alike; an entity also ends the run beside it.
+
 Only thin rows are shuffled: one per (entity, term) met in a document. A null text is empty and has no
 spans. Rows that repeat doc_id and text are one document in the counts.
 """
@@ -39,6 +41,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+#: Beyond ASCII, what no term holds.
+_BETWEEN = re.compile(r"(?![\x00-\x7F])[\W\d_]")
 _APART = np.ones(256, bool)
 _APART[65:91] = _APART[97:123] = _APART[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,18 +58,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[str, int, int]]:
+    out, end = [], 0
+    for match in _DOMAIN.finditer(text):
+        start = match.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < match.start():
+            out.append(("email", start, match.end()))
+            end = match.end()
+    return out
+
+
 def entities(text: str) -> list[tuple[str, int, int]]:
     """Base spans (kind, start, end), by kind as listed and then by start."""
-    out = []
-    if "@" in text:
-        end = 0
-        for match in _DOMAIN.finditer(text):
-            start = match.start()
-            while start > end and text[start - 1] in _LOCAL:
-                start -= 1
-            if start < match.start():
-                out.append(("email", start, match.end()))
-                end = match.end()
+    out = _emails(text) if "@" in text else []
     if _DIGITS.search(text):
         out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) <= 3 for p in m.group().split("."))]
         for match in _CARD.finditer(text):
@@ -83,8 +90,29 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with runs of letters ended as ``nearby`` ends them: bytes from 128 on are left in letters only.
+
+    Of the entities only addresses can touch a letter, and only one beyond ASCII.
+    """
+    if not len(data) or data.max() < 128:
+        return data, offsets
+    raw, out = data.tobytes(), []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        piece = raw[a:b]
+        if not piece.isascii():
+            text = piece.decode()
+            if "@" in text:
+                cuts = [0, *(x for _, start, end in _emails(text) for x in (start, end)), len(text)]
+                text = " ".join(text[x:y] for x, y in zip(cuts, cuts[1:]))
+            piece = _BETWEEN.sub(" ", text).encode()
+        out.append(piece)
+    return np.frombuffer(b"".join(out), np.uint8), np.cumsum([0, *map(len, out)])
+
+
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of letters (A-Z lowered) and the text it stands in."""
+    data, offsets = _parted(data, offsets)
     lowered = _LOWER[data]
     starts, ends, text = word_spans(lowered, offsets, _APART)
     return range_hashes(LETTER[lowered], starts, ends).view(np.int64), text

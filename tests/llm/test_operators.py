@@ -139,6 +139,31 @@ def test_personal_data(spark, empty):
     assert "secretname" not in clean[0] and "[EMAIL]" in clean[0] and clean[5] == told[5]
 
 
+def test_terms_are_cut_alike_near_entities_and_in_the_counts(spark):
+    from commitloom.llm import personal as P
+
+    told = ["call “secretname” at bob@site.org", "问，秘密项目，或 eve@site.org 的", "问秘密代号ann@site.org转交处。", "dis l’homme joe@site.org"]
+    rest = ["la femme et l’homme", "“l’homme”", "rien", "nothing", "，其他，", "else"]
+    rows = list(enumerate([t for t in told for _ in range(4)] + rest * 4))
+    found = {r.doc_id: r for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def removed(i):
+        return {rows[i][1][int(a):int(b)] for kind, a, b in (x.split(":") for x in found[i].spans.split(",")) if kind == "remove"}
+
+    assert "secretname" in removed(0) and "秘密项目" in removed(4) and {"问秘密代号", "转交处"} <= removed(8)
+    assert "homme" not in removed(12) and "dis" in removed(12)
+    rng = random.Random(9)
+    parts = ["l’homme", "“x”", "né", "漢字，仮名", "a1b", "नमस्ते", "²", "Ⅷ", "é@b.co漢", "漢q@w.de", "A_b", "ǅungla", "\u0301"]
+    for _ in range(200):
+        text = "".join(rng.choice([*parts, " "]) for _ in range(12))
+        data = np.frombuffer(text.encode(), np.uint8)
+        counted = set(P.term_hashes(data, np.array([0, len(data)]))[0].tolist())
+        spans = P.entities(text)
+        assert {term for _, term, _, _ in P.nearby(text, spans)} <= counted
+        if not spans:
+            assert {P._term_hash(m) for m in re.findall(r"[^\W\d_]+", text)} == counted
+
+
 def test_phrases(docs, empty, rows):
     from commitloom.llm.phrases import passages_removed
 
