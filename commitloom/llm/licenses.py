@@ -7,6 +7,10 @@ happens where the text is read: no shuffle.
 
 One row per document; licence, dice and lines are null where nothing reaches the threshold. Of equal scores
 the shorter block, then the earlier one, then the licence named first wins. Null and empty texts hold none.
+
+``matches`` lists every match inside lines or across them: for each template windows of words, wherever they begin
+and end, the likest first and none overlapping another of the same template. Where no block of whole lines reaches
+the threshold the likest window gives the licence.
 """
 
 from __future__ import annotations
@@ -55,6 +59,54 @@ TEMPLATES = {
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
         "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for "
+        "more details."),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE."),
+    "gpl-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+        "details."),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for "
+        "more details."),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."),
 }
 _WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
 _APART = np.ones(256, bool)
@@ -128,8 +180,59 @@ def best_match(text: str, threshold: float = THRESHOLD) -> tuple[str | None, flo
     return (best[3], -best[0], best[2], best[4]) if best else (None, None, None, None)
 
 
+def windows(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int, int, int]]:
+    """(licence, Dice coefficient, first and last word, first and last line, all from 0) of every match, likest first.
+
+    A window loses nothing by beginning and ending at bigrams of the template.
+    """
+    lines = [words(line) for line in text.split("\n")]
+    flat = [w for line in lines for w in line]
+    ends = np.cumsum([len(line) for line in lines]).tolist()
+    numbers: dict[tuple[str, str], int] = {}
+    ids = np.array([numbers.setdefault(pair, len(numbers)) for pair in zip(flat, flat[1:])], np.int64)
+    order = np.argsort(ids, kind="stable")
+    again = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
+    before = np.full(len(ids), -1)
+    before[order[again + 1]] = order[again]
+    out = []
+    for name, template in _templates().items():
+        shared = np.array([pair in template for pair in numbers], bool)
+        if shared.sum() < threshold / (2 - threshold) * len(template):
+            continue
+        common, largest = shared[ids], (2 - threshold) / threshold * len(template)
+        found = []
+        for i in np.flatnonzero(common).tolist():
+            reach = 2 * int(largest) + 2
+            new = before[i:i + reach] < i
+            while i + reach < len(ids) and new.sum() <= largest:
+                reach *= 2
+                new = before[i:i + reach] < i
+            value = 2 * np.cumsum(new & common[i:i + reach]) / (np.cumsum(new) + len(template))
+            k = int(value.argmax())
+            if value[k] >= threshold:
+                found.append((-float(value[k]), k, i))
+        taken = np.zeros(len(flat), bool)
+        for value, k, i in sorted(found):
+            if not taken[i:i + k + 2].any():
+                taken[i:i + k + 2] = True
+                out.append((name, -value, i, i + k + 1, bisect_right(ends, i), bisect_right(ends, i + k + 1)))
+    return sorted(out, key=lambda m: (-m[1], m[3] - m[2], m[2], m[0]))
+
+
+def scanned(text: str, threshold: float = THRESHOLD) -> tuple:
+    """``best_match`` and all ``windows`` of ``text``; the first of them where no block of lines matches."""
+    best, every = best_match(text, threshold), windows(text, threshold)
+    if best[0] is None and every:
+        best = (*every[0][:2], *every[0][4:])
+    return (*best, [dict(zip(_FIELDS, m)) for m in every])
+
+
+_FIELDS = ("licence", "dice", "first_word", "last_word", "first_line", "last_line")
+_MATCHES = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), *((name, pa.int32()) for name in _FIELDS[2:])]))
+
+
 def licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, licence, dice, first_line, last_line of every row."""
+    """doc_id, licence, dice, first_line, last_line, matches of every row."""
     least = min(threshold * len(t) / (2 - threshold) for t in _templates().values())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,10 +242,13 @@ def licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             known = _known()
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hits = np.bincount(owner[known[at] == hashes], minlength=len(offsets) - 1)
-            rows += [best_match(column[first + i].as_py(), threshold) if n >= least else (None,) * 4 for i, n in enumerate(hits)]
-        kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
+            rows += [scanned(column[first + i].as_py(), threshold) if n >= least else (None, None, None, None, []) for i, n in enumerate(hits)]
+        kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), _MATCHES)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]],
-            names=["doc_id", "licence", "dice", "first_line", "last_line"])
+            names=["doc_id", "licence", "dice", "first_line", "last_line", "matches"])
 
-    return texts(docs).mapInArrow(per_batch(step), "doc_id long, licence string, dice double, first_line int, last_line int")
+    return texts(docs).mapInArrow(
+        per_batch(step),
+        "doc_id long, licence string, dice double, first_line int, last_line int, "
+        "matches array<struct<licence:string,dice:double,first_word:int,last_word:int,first_line:int,last_line:int>>")

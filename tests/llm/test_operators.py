@@ -76,6 +76,31 @@ def test_licences(docs, empty, spark):
     assert L.licences(docs).where("licence is not null").count() == 0
 
 
+def test_licences_inside_lines(spark):
+    from commitloom.llm import licenses as L
+
+    mit = L.TEMPLATES["mit-text"]
+    texts = ["Copyright 2020 X. Released under the MIT License. " + "more words " * 300, f"some words before {mit} and {mit.upper()} after; licensed under CC BY 4.0 too", "of the work in the year " * 50]
+    found = {r.doc_id: r for r in L.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found[0].licence == "mit" and found[0].dice == 1 and [(m.licence, m.first_word, m.last_word) for m in found[0].matches] == [("mit", 3, 7)]
+    assert Counter(m.licence for m in found[1].matches) == {"mit-text": 2, "cc-by-4.0": 1} and found[1].licence is not None
+    assert found[2].licence is None and found[2].matches == []
+    rng = random.Random(1)
+    for _ in range(30):
+        flat = [rng.choice(["released", "under", "the", "mit", "license", "licensed", "cc", "by", "4", "0", "x"]) for _ in range(25)]
+        best: dict = {}
+        for i, j in itertools.combinations(range(25), 2):
+            for name, template in L._templates().items():
+                value = L.dice(L.bigrams(flat[i:j + 1]), template)
+                if value >= L.THRESHOLD:
+                    best[name] = max(best.get(name, 0), value)
+        told: dict = {}
+        for name, value, i, j, _, _ in L.windows(" ".join(flat)):
+            assert value == L.dice(L.bigrams(flat[i:j + 1]), L._templates()[name])
+            told[name] = max(told.get(name, 0), value)
+        assert told == best
+
+
 def test_mixing(docs, empty, rows):
     from commitloom.llm import mixing as M
 
