@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import bpe, editprint, exact, licenses, minhash, mixing, personal, phrases, suffixes, toxicity
+from commitloom.llm import bpe, editprint, exact, licenses, minhash, mixing, periods, personal, phrases, quality, suffixes, toxicity, turns
 from commitloom.llm.tables import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -63,6 +63,18 @@ def edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.neighbour_prints(documents(spark, sf_dir))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(documents(spark, sf_dir), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licence_scan,
     "op2_pareto_mixing": mixing_sources,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_minhash": near_copies,
     "op9_deep_shallow_suffixes": repeated_suffixes,
     "op10_edit_embedding": edit_fingerprints,
+    "op11_conversation_repair": conversation_repair,
+    "op12_subword_quality": quality_scores,
+    "op13_periodic_runs": periodic_runs,
 }
 
 ORACLES = {
