@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from commitloom.functions import text as X
@@ -73,18 +75,28 @@ def w09(t):
     return diff_paths(diff_lines(t)).groupBy("repo_id", "request_id", "path").agg(F.count("*").alias("lines"))
 
 
-@register("s06_write_snapshot", """SELECT repo_id, path, language, loc FROM repo_files""", "repo_files")
-def s06(t):
-    """Writes both repositories, replaces one again, reads all back."""
-    import uuid
-
+def snapshot_store(t):
     from commitloom.session import shared_folder
 
-    folder = f"{shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}/files"
-    files = t.repo_files.select("repo_id", "path", "language", "loc")
-    S.write_snapshot(files, folder)
-    S.write_snapshot(files.where(c("repo_id") == "F"), folder)
-    return S.read_table(t.spark, folder).select("repo_id", "path", "language", "loc")
+    return S.SnapshotStore(t.spark, f"{shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}")
+
+
+def snapshot_tables(t):
+    return {"files": t.repo_files.select("repo_id", "path", "language", "loc"), "entities": t.entities.select("repo_id", "key", "path")}
+
+
+@register("s06_write_snapshot", """
+SELECT f.repo_id, f.path, f.language, f.loc, count(e.key) AS entities FROM repo_files f
+LEFT JOIN entities e ON f.repo_id = e.repo_id AND f.path = e.path GROUP BY 1, 2, 3, 4""", "repo_files entities")
+def s06(t):
+    """Writes two tables of both repositories, replaces one repository with part of its rows and again with all."""
+    store, tables = snapshot_store(t), snapshot_tables(t)
+    store.replace(tables)
+    store.replace({name: rows.where((c("repo_id") == "F") & c("path").startswith("docs/")) for name, rows in tables.items()})
+    store.replace({name: rows.where(c("repo_id") == "F") for name, rows in tables.items()})
+    view = store.view()
+    found = view.table("entities").groupBy("repo_id", "path").agg(F.count("*").alias("entities"))
+    return view.table("files").join(found, ["repo_id", "path"], "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
 
 
 @register("s09_json_columns", """
@@ -105,16 +117,19 @@ def s10(t):
     return rows.select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
 
 
-@register("s11_delete_repo", """SELECT repo_id, path, language, loc FROM repo_files WHERE repo_id <> 'F'""", "repo_files")
+@register("s11_delete_repo", """
+SELECT 'files' AS name, repo_id, path FROM repo_files WHERE repo_id <> 'F' AND language <> 'go'
+UNION ALL SELECT 'entities', repo_id, key FROM entities WHERE repo_id <> 'F'""", "repo_files entities")
 def s11(t):
-    import uuid
-
-    from commitloom.session import shared_folder
-
-    folder = f"{shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}/files"
-    S.write_snapshot(t.repo_files.select("repo_id", "path", "language", "loc"), folder)
-    S.delete_rows(t.spark, folder, "F")
-    return S.read_table(t.spark, folder + "__next").select("repo_id", "path", "language", "loc")
+    """Deletes a repository from both tables, twice, then some rows of the other one's files."""
+    store = snapshot_store(t)
+    store.replace(snapshot_tables(t))
+    store.delete("F")
+    store.delete("F")
+    store.delete_rows("files", "O", c("language") == "go")
+    view = store.view()
+    files = view.table("files").select(F.lit("files").alias("name"), "repo_id", "path")
+    return files.unionByName(view.table("entities").select(F.lit("entities").alias("name"), "repo_id", c("key").alias("path")))
 
 
 @register("a19_snapshot_fingerprint", """
@@ -205,11 +220,40 @@ def j22(t):
     return R.find_duplicate_repos(new, known).select("page_id", "duplicate_of")
 
 
+def written_tree(t):
+    """All source files as a tree of real files in the shared folder, one brand's folder under an ignored name."""
+    from commitloom.session import shared_folder
+
+    base = f"{shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        from commitloom.sources.files import file_system
+
+        for batch in batches:
+            for repo_id, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
+                system, root = file_system(base)
+                whole = f"{root}/{repo_id}/{path}"
+                system.create_dir(os.path.dirname(whole), recursive=True)
+                with system.open_output_stream(whole) as stream:
+                    stream.write(content.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    named = t.sources.withColumn("path", F.regexp_replace("path", "^src/Brand_13/", "src/node_modules/"))
+    named.select("repo_id", "path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    repos = named.select("repo_id").distinct()
+    return repos.withColumn("folder", F.concat(F.lit(base + "/"), "repo_id"))
+
+
 @register("s01_scan_source_files", """
-SELECT path, lang FROM texts WHERE path NOT LIKE 'src1/%'""", "texts")
+SELECT repo_id, path, language, sha256(string_agg(text, chr(10) ORDER BY line_no)) AS digest FROM source_lines
+WHERE path NOT LIKE 'src/Brand_13/%' GROUP BY 1, 2, 3""", "source_lines")
 def s01(t):
-    """The scan's path rules over the document tree, with one source folder renamed to an ignored one."""
-    from commitloom.sources.files import ignored_path
+    """Scans the tree that Spark wrote."""
+    from commitloom.sources.files import scan_source_files
 
-    listed = t.texts.withColumn("_p", F.regexp_replace("path", "^src1/", "node_modules/"))
-    return listed.where(~ignored_path(c("_p"))).select("path", "lang")
+    return scan_source_files(written_tree(t)).select("repo_id", "path", "language", F.sha2("content", 256).alias("digest"))

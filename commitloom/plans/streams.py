@@ -1,4 +1,4 @@
-"""Streaming queries over the events table, run to the end of the available data."""
+"""Streaming queries over the events table, which arrives in three files, the newest third of the time first."""
 
 from __future__ import annotations
 
@@ -13,51 +13,59 @@ from commitloom.streaming import feeds as S
 c = F.col
 
 
-def feed(t):
-    """The events file as a stream."""
-    return (
-        t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-        .withColumn("ts", c("ts").cast("timestamp"))
-    )
-
-
-def folders(t):
+def feed(t, order=(2, 1, 0)):
+    """The thirds of the events' time as a stream of files in the given order, one micro-batch each."""
     base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    return f"{base}/out", f"{base}/state"
+    events = t.events.withColumn("ts", c("ts").cast("timestamp"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    third = F.when(c("ts") < first + (last - first) / 3, 0).when(c("ts") < first + 2 * (last - first) / 3, 1).otherwise(2)
+    for part in order:  # files are taken in the order in which they were written
+        events.where(third == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return stream, f"{base}/table", f"{base}/state"
 
 
 @register("t01_stream_commits", "SELECT event_id, user_id, event_type FROM events")
 def t01(t):
-    out, state = folders(t)
-    twice = feed(t).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    S.append_to(S.stream_commits(twice, "event_id", "ts").select("event_id", "user_id", "event_type"), out, state).awaitTermination()
-    return t.spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(out)
+    """Every event comes twice in its batch, and those of the newest third once more in the last one."""
+    stream, folder, state = feed(t, order=(2, 1, 0, 2))
+    rows = stream.select("event_id", "user_id", "event_type", "ts")
+    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    table = S.commit_table(twice, "event_id", folder)
+    S.stream_commits(twice, "event_id", "ts", table, state).awaitTermination()
+    return S.commits(t.spark, table).select("event_id", "user_id", "event_type")
 
 
 @register("t02_stream_weekly_activity", """
-SELECT CAST(w AS DATE) AS week, count(*) AS commits, round(sum(value), 4) AS amount FROM (SELECT date_trunc('week', ts) AS w, value FROM events)
-GROUP BY w HAVING w + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS commits, round(sum(value), 4) AS amount FROM events GROUP BY 1, 2""")
 def t02(t):
-    out, state = folders(t)
-    S.append_to(S.stream_weekly_activity(feed(t), "ts", "value"), out, state).awaitTermination()
-    rows = t.spark.read.schema("week date, commits bigint, amount double").parquet(out)
-    return rows.withColumn("amount", F.round("amount", 4))
+    stream, folder, state = feed(t)
+    table = S.weekly_table(stream, ["user_id"], "value", folder)
+    S.stream_weekly_activity(stream, "ts", "value", table, state).awaitTermination()
+    table.compact(t.spark, 1, S.weekly_folded(["user_id"]))
+    return S.weekly_activity(t.spark, table).withColumn("amount", F.round("amount", 4))
 
 
 @register("t03_stream_file_metrics", """
-SELECT user_id, event_type, round(sum(value), 4) AS churn, count(*) AS commit_count, max(ts) AS last_modified FROM events GROUP BY 1, 2""")
+SELECT user_id, event_type, round(sum(value), 4) AS churn, count(*) AS commit_count, count(DISTINCT props) AS authors, max(ts) AS last_modified FROM events GROUP BY 1, 2""")
 def t03(t):
-    out, state = folders(t)
+    stream, folder, state = feed(t)
     by = ["user_id", "event_type"]
-    S.update_to(S.stream_file_metrics(feed(t), by, "ts", "value", "props"), out, state).awaitTermination()
-    latest = S.latest_updates(t.spark, out, by).drop("authors")
-    return latest.withColumns({"churn": F.round("churn", 4), "last_modified": c("last_modified").cast("timestamp_ntz")})
+    table = S.metrics_table(stream, by, "ts", "value", "props", folder)
+    S.stream_file_metrics(stream, "ts", "value", "props", table, state).awaitTermination()
+    return S.file_metrics(t.spark, table).withColumns({"churn": F.round("churn", 4), "last_modified": c("last_modified").cast("timestamp_ntz")})
 
 
 @register("t04_stream_skip_unchanged", """
-SELECT user_id AS repo_id, arg_max(event_type, ts) AS fingerprint FROM events GROUP BY 1""")
++ s AS (SELECT user_id, event_type, ts, CASE WHEN ts < a + (b - a) / 3 THEN 0 WHEN ts < a + 2 * (b - a) / 3 THEN 1 ELSE 2 END AS part
+  FROM events, (SELECT min(ts) AS a, max(ts) AS b FROM events)),
+lasts AS (SELECT user_id, part, arg_max(event_type, ts) AS fingerprint FROM s GROUP BY 1, 2),
+changed AS (SELECT *, lag(fingerprint) OVER (PARTITION BY user_id ORDER BY part) AS before FROM lasts)
+SELECT user_id AS repo_id, CAST(part AS BIGINT) AS batch_id, fingerprint FROM changed WHERE before IS DISTINCT FROM fingerprint""", "jobs")
 def t04(t):
-    out, state = folders(t)
-    snapshots = feed(t).select(c("user_id").alias("repo_id"), c("event_type").alias("fingerprint"), c("ts").alias("seen_at"))
-    S.stream_changed_snapshots(snapshots, out, state).awaitTermination()
-    return S.latest_updates(t.spark, out, ["repo_id"]).select("repo_id", "fingerprint")
+    """What each of the three batches writes: the last fingerprint of every user where it differs from the one before."""
+    stream, folder, state = feed(t, order=(0, 1, 2))
+    snapshots = stream.select(c("user_id").alias("repo_id"), c("event_type").alias("fingerprint"), c("ts").alias("seen_at"))
+    table = S.fingerprint_table(snapshots, folder)
+    S.stream_changed_snapshots(snapshots, table, state).awaitTermination()
+    return table.read(t.spark).select("repo_id", "batch_id", "fingerprint")
