@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom.functions import paths as P
+from commitloom.operators.grams import containing
 from commitloom.operators.skew import top_per_group
 
 REPO = ("repo_id",)
@@ -389,16 +390,13 @@ def hottest_files(files: DataFrame, limit: int = 400, by: Sequence[str] = REPO)
 def search_names(nodes: DataFrame, terms: DataFrame, top: int = 25, by: Sequence[str] = REPO) -> DataFrame:
     """Files and entities whose name or path contains a search term, best matches first.
 
-    ``terms`` holds (keys, term) with lower-case terms. A contains-match has no equi key, so terms
-    meet nodes on the repository; both sides' hits are pruned to ``top`` before any shuffle.
+    ``terms`` holds (keys, term) with lower-case terms. Terms find nodes by their rarest gram, see ``grams``.
     """
     hay = F.when(F.col("kind") == "file", F.col("path")).otherwise(F.concat_ws(" ", "qualified_name", "path"))
     searchable = nodes.where(F.col("kind").isin("file", "entity")).select(
         *by, "key", "kind", "fan_in", F.lower("name").alias("_name"), F.lower(hay).alias("_hay")
-    )
-    from commitloom.operators.skew import salted_join
-
-    joined = salted_join(searchable, terms, by, ["key"])
+    ).withColumn("_text", F.concat_ws("\0", "_name", "_hay"))
+    found = containing(searchable, terms, "_text", by).join(searchable.drop("_text"), [*by, "key"])
     term = F.col("term")
     base = (
         F.when(F.col("_name") == term, 100)
@@ -406,7 +404,7 @@ def search_names(nodes: DataFrame, terms: DataFrame, top: int = 25, by: Sequence
         .when(F.contains(F.col("_name"), term), 50)
         .when(F.contains(F.col("_hay"), term), 30)
     )
-    scored = joined.withColumn("_base", base).where(F.col("_base").isNotNull()).select(
+    scored = found.withColumn("_base", base).where(F.col("_base").isNotNull()).select(
         *by, "term", "key",
         (F.col("_base") + F.least(F.lit(20), F.col("fan_in")) + F.when(F.col("kind") == "file", 5).otherwise(0))
         .cast("long").alias("score"),

@@ -267,9 +267,9 @@ def source_roots(files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
 
 
 def _file_index(files: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each file under its exact path and every lower-cased suffix of it."""
+    """The first file in path order under every exact path and every lower-cased suffix: one row per value."""
     path = F.col("path")
-    return files.select(
+    every = files.select(
         *by, F.col("path").alias("target"),
         F.explode(
             F.concat(
@@ -279,11 +279,15 @@ def _file_index(files: DataFrame, by: Sequence[str]) -> DataFrame:
                 ),
             )
         ).alias("k"),
-    ).select(*by, "target", "k.kind", "k.value")
+    )
+    return every.groupBy(*by, "k.kind", "k.value").agg(F.min("target").alias("target"))
 
 
 def _directory_index(files: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Every directory that holds files: whole, and under each suffix; plain and lower-cased."""
+    """The first and the longest directory with files under each whole name and suffix, plain and lower-cased.
+
+    One row per value: of the longest directories the first in path order.
+    """
     dirs = files.select(*by, P.dirname(F.col("path")).alias("dir")).distinct().where(F.col("dir") != "")
     plain, lowered = F.col("dir"), F.lower("dir")
     whole = F.transform(
@@ -293,9 +297,10 @@ def _directory_index(files: DataFrame, by: Sequence[str]) -> DataFrame:
         F.array_union(P.path_suffixes(plain), P.path_suffixes(lowered)),
         lambda v: F.struct(F.lit("dir").alias("kind"), v.alias("value")),
     )
-    return dirs.select(*by, "dir", F.explode(F.concat(whole, ends)).alias("k")).select(
-        *by, "dir", "k.kind", "k.value"
-    )
+    every = dirs.select(*by, "dir", F.explode(F.concat(whole, ends)).alias("k"))
+    return every.groupBy(*by, "k.kind", "k.value").agg(
+        F.min("dir").alias("first"), F.min(F.struct((-F.length("dir")).alias("n"), "dir")).alias("longest")
+    ).select(*by, "kind", "value", "first", F.col("longest.dir").alias("longest"))
 
 
 # Which files of a directory an import brings in, and how many at most.
@@ -365,11 +370,26 @@ def propose(
     return ready.withColumn("candidates", every).drop("roots", "_aliases")
 
 
-def resolve_imports(
+def _directory_files(files: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(keys, dir, language, target): the files of each directory that an import of it brings in, so few per directory."""
+    members = files.select(*by, F.col("path").alias("target"), P.dirname(F.col("path")).alias("dir"))
+    rules = F.array(*[F.struct(F.lit(n).alias("language"), F.lit(p).alias("pattern"), F.lit(m).alias("most")) for n, (p, m) in DIRECTORY_FILES.items()])
+    wanted = members.select(*members.columns, F.explode(rules).alias("_rule")).where(F.expr("target rlike _rule.pattern"))
+    named = wanted.select(*by, "dir", "target", "_rule.language", "_rule.most")
+    most = max(m for _, m in DIRECTORY_FILES.values())
+    ranked = top_per_group(named, [*by, "dir", "language"], [F.col("target")], most, rank="_n")
+    return ranked.where(F.col("_n") <= F.col("most")).select(*by, "dir", "language", "target")
+
+
+def import_hits(
     imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = REPO,
     languages: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Distinct (keys, path, spec, language, target): the files each import means, itself excluded."""
+    """Distinct (keys, path, spec, language, target): the files each import means, the importing file itself included.
+
+    Files and directories are reduced to the first per name before they meet imports, so a name that thousands of files
+    share costs an import one row.
+    """
     key = [*by, "path", "language", "spec"]
     asked = (
         propose(imports, files, aliases, by, languages)
@@ -379,7 +399,6 @@ def resolve_imports(
         .distinct()
     )
     hits = asked.where(F.col("kind").isin("path", "suffix")).join(_file_index(files, by), [*by, "kind", "value"])
-    # the first file in path order answers a suffix
     best_file = hits.groupBy(*key, "slot").agg(
         F.min(F.struct("step", "rank", "target")).alias("b")
     ).select(*key, "slot", F.col("b.step").alias("step"), F.col("b.target").alias("target"))
@@ -387,18 +406,13 @@ def resolve_imports(
         _directory_index(files, by), [*by, "kind", "value"]
     )
     # Go takes the longest tail that hits, the others the longest directory; then path order
-    preference = F.when(F.col("language") == "go", F.col("rank")).otherwise(-F.length("dir"))
+    go = F.col("language") == "go"
+    chosen = F.when(go, F.col("first")).otherwise(F.col("longest"))
+    preference = F.when(go, F.col("rank")).otherwise(-F.length("longest"))
     best_dir = dir_hits.groupBy(*key).agg(
-        F.min(F.struct("step", preference.alias("p"), "dir")).alias("b")
+        F.min(F.struct("step", preference.alias("p"), chosen.alias("dir"))).alias("b")
     ).select(*key, F.col("b.dir").alias("dir"))
-    members = files.select(*by, F.col("path").alias("target"), P.dirname(F.col("path")).alias("dir"))
-    in_dir = best_dir.join(members, [*by, "dir"])
-    wanted = F.lit(False)
-    limit = F.lit(0)
-    for language, (pattern, most) in DIRECTORY_FILES.items():
-        wanted = wanted | ((F.col("language") == language) & F.col("target").rlike(pattern))
-        limit = F.when(F.col("language") == language, most).otherwise(limit)
-    listed = top_per_group(in_dir.where(wanted), key, [F.col("target")], 8, rank="_n").where(F.col("_n") <= limit)
+    listed = best_dir.join(_directory_files(files, by), [*by, "dir", "language"])
     found = best_file.select(*key, "slot", "target").unionByName(
         listed.select(*key, F.lit("dir").alias("slot"), "target")
     )
@@ -407,19 +421,27 @@ def resolve_imports(
     fallback = found.where(F.col("slot") == "fallback").join(named, key, "left_anti")
     return (
         found.where(F.col("slot") != "fallback").unionByName(fallback)
-        .where(F.col("target") != F.col("path"))
         .select(*key, "target")
         .distinct()
     )
 
 
+def resolve_imports(
+    imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = REPO,
+    languages: Sequence[str] | None = None,
+) -> DataFrame:
+    """As ``import_hits`` without the importing file itself."""
+    return import_hits(imports, files, aliases, by, languages).where(F.col("target") != F.col("path"))
+
+
 def link_imports(
     imports: DataFrame, resolved: DataFrame, hits: DataFrame | None = None, by: Sequence[str] = REPO
 ) -> DataFrame:
     """IMPORTS edges: to resolved files, else to the external package the import names.
 
-    ``hits`` holds imports that named some file, the importing file itself included; it defaults to
-    ``resolved``. Relative imports that find nothing give no edge.
+    ``hits`` are those of ``import_hits``: an import that means only the importing file gives no edge, neither to the file
+    nor to a package. Where it is left out, every import that is not in ``resolved`` counts as external. Relative imports
+    that find nothing give no edge.
     """
     key = [*by, "path", "language", "spec"]
     named = (hits if hits is not None else resolved).select(*key).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from commitloom import fixed
 from commitloom.functions import paths as P
 from commitloom.functions import text as X
+from commitloom.operators.grams import containing
 from commitloom.operators.skew import top_per_group
 
 REPO = ("repo_id",)
@@ -96,6 +97,24 @@ def references_without_calls(refs: DataFrame, calls: DataFrame, on: Sequence[str
     return refs.join(calls.select(*on).distinct(), list(on), "left_anti")
 
 
+def _first_ending(asked: DataFrame, files: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(keys, ending, key): of the files whose lower-cased path ends with an asked ending the first in path order.
+
+    An ending with a slash names the whole last segment; others need not begin a segment and are found by their rarest
+    gram among the names.
+    """
+    endings = asked.select(*by, "ending").where(F.length("ending") > 0).distinct()
+    lower = files.select(*by, F.col("key"), "path", F.lower("path").alias("_low")).withColumn("_name", F.substring_index("_low", "/", -1))
+    deep = endings.where(F.contains("ending", F.lit("/"))).withColumn("_name", F.substring_index("ending", "/", -1))
+    flat = containing(lower.select(*by, "_name").distinct().withColumn("_file", F.col("_name")), endings.where(~F.contains("ending", F.lit("/"))), "_name", by, "_file", "ending")
+    named = flat.where(F.endswith(F.col("_file"), F.col("ending"))).select(*by, "ending", F.col("_file").alias("_name"))
+    # of one name only the first file can answer an ending without a slash
+    least = lower.groupBy(*by, "_name").agg(F.min(F.struct("path", "key")).alias("_first"))
+    hits = named.join(least, [*by, "_name"]).select(*by, "ending", "_first").unionByName(
+        deep.join(lower, [*by, "_name"]).where(F.endswith(F.col("_low"), F.col("ending"))).select(*by, "ending", F.struct("path", "key").alias("_first")))
+    return hits.groupBy(*by, "ending").agg(F.min("_first").alias("_first")).select(*by, "ending", F.col("_first.key").alias("key"))
+
+
 def link_mentions(
     questions: DataFrame, entities: DataFrame, files: DataFrame, text: str = "question", most: int = 8,
     max_candidates: int = 6, taken: int = 3, by: Sequence[str] = (), query: Sequence[str] = ("query_id",),
@@ -122,15 +141,7 @@ def link_mentions(
     )
     paths = questions.select(*by, *query, F.posexplode(X.mention_paths(F.col(text))).alias("_at", "token"))
     asked = paths.select(*by, *query, "_at", F.lower("token").alias("ending"))
-    # endings need not be segment-aligned: a file offers every ending that is as long as its last segment or more
-    lower = F.lower(F.col("path"))
-    endings = files.select(
-        *by, F.col("key"), "path",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length(lower)), lambda i: F.substring(lower, i, F.length(lower)))
-        ).alias("ending"),
-    )
-    first = asked.join(endings, [*by, "ending"]).groupBy(*by, *query, "_at").agg(F.min_by("key", "path").alias("key"))
+    first = asked.join(_first_ending(asked, files, by), [*by, "ending"]).select(*by, *query, "_at", "key")
     filed = first.select(*by, *query, F.lit(1).alias("_kind"), "_at", F.lit(0).alias("_i"), "key")
     seen = named.unionByName(filed).groupBy(*by, *query, "key").agg(F.min(F.struct("_kind", "_at", "_i")).alias("_first"))
     return top_per_group(seen, [*by, *query], [F.col("_first"), F.col("key")], most, rank="position").drop("_first")

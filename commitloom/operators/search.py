@@ -9,26 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom import fixed
-from commitloom.functions import scores as S
 from commitloom.functions import text as X
-from commitloom.operators.skew import salted_join, top_per_group
-from commitloom.session import cut_lineage
+from commitloom.operators import vectors as V
+from commitloom.operators.index import TextIndex, postings, rank  # noqa: F401
+from commitloom.operators.skew import top_per_group
 
 QUERY = ("query_id",)
 
 
-def postings(docs: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
-    """(keys, doc_id, term, tf, doc_len).
-
-    Texts are placed by document first: tokens cost far more CPU than bytes, so they are cut in as many
-    tasks as there are shuffle partitions, and counting them needs no further shuffle.
-    """
-    spread = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "doc_id")
-    tokens = spread.select(*by, "doc_id", X.tokenize(F.col(text)).alias("_t"))
-    sized = tokens.select(*by, "doc_id", F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term"))
-    return sized.where(F.col("term").isNotNull()).groupBy(*by, "doc_id", "term", "doc_len").agg(F.count("*").alias("tf"))
-
-
 def corpus_stats(docs: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """Number of documents and their average length."""
     length = F.size(X.tokenize(F.col(text)))
@@ -41,48 +29,25 @@ def document_frequency(posting: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def bm25(
     queries: DataFrame, docs: DataFrame, k: int = fixed.LIST_LENGTH, query_text: str = "question", text: str = "text",
-    k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, broadcast_terms: int = 1_000_000,
+    k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
 ) -> DataFrame:
     """The ``k`` best documents of every query: (query_id, doc_id, score, position).
 
-    A frequent term meets many queries and many documents. A batch of at most ``broadcast_terms``
-    (query, term) rows is sent to the postings, which stay placed by document, so scores are summed
-    without a shuffle of the matches. A larger batch joins on the term, salted over documents. Either
-    way the ranking prunes each query to ``k`` before its shuffle.
+    Indexes ``docs`` first; where the same documents are asked again, keep a ``TextIndex`` and call ``index.rank``.
     """
-    # the index is written once: document frequencies, lengths and matches all read it
-    posting = cut_lineage(postings(docs, text))
-    n_docs = docs.agg(F.count("*")).scalar()
-    avg_len = posting.agg(F.sum("tf")).scalar() / n_docs
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.tokenize(F.col(query_text)))).alias("term"))
-    # only terms of the queries need postings and a document frequency
-    asked = posting.join(terms.select("term").distinct(), "term", "left_semi")
-    df = document_frequency(asked)
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df.select("term", idf.alias("idf")), "term")
-    # the size is checked, not assumed
-    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        hits = asked.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").join(F.broadcast(weighted), "term")
-    else:
-        hits = salted_join(asked, weighted, ["term"], ["doc_id"], salts=8)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
-    return top_per_group(scored, QUERY, [F.round("score", 9).desc(), F.col("doc_id")], k, rank="position")
+    index = TextIndex.fresh(docs.sparkSession)
+    index.update(docs.select("doc_id", F.col(text).alias("text")))
+    return rank(queries, index, k, query_text, k1, b)
 
 
 def vector_topk(
     queries: DataFrame, vectors: DataFrame, k: int = fixed.LIST_LENGTH, by: Sequence[str] = (), vector: str = "vector"
 ) -> DataFrame:
-    """The ``k`` vectors with the largest dot product per query, among those of equal width.
+    """The ``k`` vectors with the largest dot product per query, among those of equal width: exact.
 
-    Exact: every stored vector of the width is scored. The stored side is spread over salts, the query
-    batch is repeated per salt, and each task prunes to ``k`` per query before the shuffle.
+    Puts the vectors into blocks first; where they are asked again, keep ``vectors.build`` and call ``vectors.topk``.
     """
-    q = queries.select(*by, "query_id", F.col(vector).alias("_q"), F.size(vector).alias("dims"))
-    v = vectors.select(*by, "doc_id", F.col(vector).alias("_v"), F.size(vector).alias("dims"))
-    pairs = salted_join(v, q, [*by, "dims"], ["doc_id"])
-    scored = pairs.select(*by, "query_id", "doc_id", S.dot(F.col("_q"), F.col("_v")).alias("score"))
-    return top_per_group(scored, [*by, *QUERY], [F.round("score", 9).desc(), F.col("doc_id")], k, rank="position")
+    return V.topk(queries, V.build(vectors, by, vector), k, by, vector)[0]
 
 
 def candidate_list(rows: DataFrame, name: str, query: Sequence[str] = QUERY) -> DataFrame:

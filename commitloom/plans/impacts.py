@@ -79,11 +79,11 @@ partners AS (SELECT * FROM (SELECT b.repo_id, b.key AS request_id, b.other AS ke
   FROM (SELECT repo_id, source AS key, target AS other, weight FROM co UNION ALL SELECT repo_id, target, source, weight FROM co) b) WHERE rn <= 15),
 test_files AS (SELECT repo_id, key AS file_key, lower(regexp_extract(path, '[^/]*$')) AS name FROM repo_files WHERE path LIKE '%/tests/%'),
 related AS (SELECT repo_id, request_id, file_key, arg_min(reason, o) AS reason FROM (
-    SELECT i.repo_id, i.request_id, i.file_key, 2 AS o, 'depends on changed code' AS reason FROM impacted_files i
+    SELECT i.repo_id, i.request_id, i.file_key, 2 AS o, 'reaches the change' AS reason FROM impacted_files i
       JOIN test_files x ON i.repo_id = x.repo_id AND i.file_key = x.file_key
-    UNION ALL SELECT i.repo_id, i.request_id, i.key, 1, 'historically changes together' FROM partners i
+    UNION ALL SELECT i.repo_id, i.request_id, i.key, 1, 'often committed with it' FROM partners i
       JOIN test_files x ON i.repo_id = x.repo_id AND i.key = x.file_key
-    UNION ALL SELECT f.repo_id, f.key, x.file_key, 0, 'test named after changed file' FROM repo_files f JOIN test_files x ON f.repo_id = x.repo_id
+    UNION ALL SELECT f.repo_id, f.key, x.file_key, 0, 'its name contains the file''s' FROM repo_files f JOIN test_files x ON f.repo_id = x.repo_id
       AND contains(x.name, lower(regexp_replace(regexp_extract(f.path, '[^/]*$'), '[.][^.]+$', ''))))
   GROUP BY 1, 2, 3),
 tests AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, request_id ORDER BY file_key) AS rn FROM related) WHERE rn <= 20)"""
@@ -250,8 +250,10 @@ located AS (SELECT DISTINCT h.repo_id, h.request_id, 'f:' || m.file AS file_key,
   JOIN matched m ON h.repo_id = m.repo_id AND h.path = m.path),
 hits AS (SELECT DISTINCT l.repo_id, l.request_id, l.file_key, e.key, e.start_line, e.end_line FROM located l JOIN entities e
   ON l.repo_id = e.repo_id AND l.file_key = e.file_key AND e.start_line <= l.end_ AND e.end_line >= l.start),
-inner_hits AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.repo_id = h.repo_id AND o.request_id = h.request_id
-  AND o.file_key = h.file_key AND o.key <> h.key AND o.start_line >= h.start_line AND o.end_line <= h.end_line)),
+spans AS (SELECT *, count(*) OVER (PARTITION BY repo_id, request_id, file_key, start_line, end_line) AS equal_spans,
+  min(end_line) OVER (PARTITION BY repo_id, request_id, file_key ORDER BY start_line DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later_end,
+  min(end_line) OVER (PARTITION BY repo_id, request_id, file_key, start_line) AS same_end FROM hits),
+inner_hits AS (SELECT * FROM spans WHERE equal_spans = 1 AND same_end = end_line AND coalesce(later_end, end_line + 1) > end_line),
 counted_hits AS (SELECT l.repo_id, l.request_id, l.file_key, count(i.key) AS n FROM (SELECT DISTINCT repo_id, request_id, file_key FROM located) l
   LEFT JOIN inner_hits i ON l.repo_id = i.repo_id AND l.request_id = i.request_id AND l.file_key = i.file_key GROUP BY 1, 2, 3),
 diff_targets AS (SELECT x.repo_id, x.request_id, x.file_key, i.key FROM counted_hits x JOIN inner_hits i

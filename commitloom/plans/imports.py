@@ -80,15 +80,32 @@ def j06(t):
     return resolve(t, "rust")
 
 
-@register("j07_link_imports", "+ " + _PROBE + """,
-named AS (SELECT DISTINCT * FROM hits)
-SELECT DISTINCT repo_id, 'f:' || path AS source, 'f:' || target AS target, 'IMPORTS' AS type, 1.0::DOUBLE AS weight FROM named WHERE path <> target
-UNION SELECT s.repo_id, 'f:' || s.path, 'p:' || CASE WHEN s.language = 'python' THEN split_part(s.spec, '.', 1) ELSE split_part(s.spec, '/', 1) || '/' || split_part(s.spec, '/', 2) END,
-  'IMPORTS', 1.0 FROM base s WHERE s.spec NOT LIKE '.%' AND NOT EXISTS (SELECT 1 FROM named n WHERE n.repo_id = s.repo_id AND n.path = s.path AND n.spec = s.spec)""",
+_ALL = _PROBE + """,
+go_dirs AS (SELECT repo_id, regexp_replace(path, '/[^/]*$', '') AS dir, path FROM repo_files WHERE path LIKE '%.go'),
+go_best AS (SELECT s.repo_id, s.path, s.language, s.spec, min(struct_pack(n := length(s.spec) - length(d.dir), d := d.dir)) AS b FROM import_specs s
+  JOIN (SELECT DISTINCT repo_id, regexp_replace(path, '/[^/]*$', '') AS dir FROM repo_files) d ON s.repo_id = d.repo_id AND ends_with(s.spec, '/' || d.dir) WHERE s.language = 'go' GROUP BY 1, 2, 3, 4),
+every AS (SELECT * FROM hits
+  UNION ALL SELECT s.repo_id, s.path, s.language, s.spec, f.path FROM import_specs s JOIN repo_files f
+    ON s.repo_id = f.repo_id AND f.path LIKE '%/' || replace(s.spec, '.', '/') || '.java' WHERE s.language = 'java'
+  UNION ALL SELECT s.repo_id, s.path, s.language, s.spec, f.path FROM import_specs s JOIN repo_files f
+    ON s.repo_id = f.repo_id AND f.path = 'src/' || replace(substr(s.spec, 8), '::', '/') || '.rs' WHERE s.language = 'rust'
+  UNION ALL SELECT repo_id, path, language, spec, target FROM (SELECT b.repo_id, b.path, b.language, b.spec, d.path AS target,
+      row_number() OVER (PARTITION BY b.repo_id, b.path, b.spec ORDER BY d.path) AS rn
+    FROM go_best b JOIN go_dirs d ON b.repo_id = d.repo_id AND b.b.d = d.dir) WHERE rn <= 8)"""
+
+
+@register("j07_link_imports", "+ " + _ALL + """
+SELECT DISTINCT repo_id, 'f:' || path AS source, 'f:' || target AS target, 'IMPORTS' AS type, 1.0::DOUBLE AS weight FROM every WHERE path <> target
+UNION SELECT s.repo_id, 'f:' || s.path, 'p:' || CASE s.language WHEN 'python' THEN split_part(s.spec, '.', 1)
+    WHEN 'typescript' THEN split_part(s.spec, '/', 1) || '/' || split_part(s.spec, '/', 2)
+    WHEN 'java' THEN array_to_string(string_split(s.spec, '.')[1:2], '.') ELSE array_to_string(string_split(s.spec, '/')[1:3], '/') END,
+  'IMPORTS', 1.0 FROM import_specs s WHERE s.language IN ('python', 'typescript', 'java', 'go') AND s.spec NOT LIKE '.%'
+  AND NOT EXISTS (SELECT 1 FROM every n WHERE n.repo_id = s.repo_id AND n.path = s.path AND n.spec = s.spec)""",
           "import_specs repo_files")
 def j07(t):
-    rows = specs(t, "typescript", "python")
-    return M.link_imports(rows, M.resolve_imports(rows, t.repo_files.select("repo_id", "path"), languages=("typescript", "python")))
+    rows = specs(t)
+    hits = M.import_hits(rows, t.repo_files.select("repo_id", "path"))
+    return M.link_imports(rows, hits.where(c("target") != c("path")), hits)
 
 
 # names shared by parts of one brand file: the cascade over all parts as entities
