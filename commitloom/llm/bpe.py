@@ -2,7 +2,8 @@
 
 A pair of bytes that occurs inside no vocabulary token can never be joined by a merge, so a word is cut
 there, its fragments are encoded on their own and the ids are put together. Texts are cut at white space
-first; pieces and fragments repeat often, so both are remembered up to a fixed number per worker.
+first; pieces, words and fragments repeat often, so they are remembered up to a fixed number per worker. What has not been
+asked for since as many others came is forgotten first.
 
 A null or empty text gives no tokens, an empty decoded text. Rows keep their order and repeats.
 """
@@ -14,6 +15,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from operator import add
 
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 
 from commitloom.llm.tables import per_batch, texts
 
-#: Pieces remembered by one worker before it starts anew.
+#: Pieces remembered by one worker, and as many words and fragments together.
 REMEMBERED = 150_000
 # Fixed values of the public vocabulary's normaliser and splitter.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+# the same for texts of ASCII characters only
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _END = "</w>"
 _NEVER = 1 << 60
@@ -44,6 +48,25 @@ def together(rows: list[tuple[str, str, int]]) -> tuple[str, str, int]:
     return " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows]), sum([r[2] for r in rows])
 
 
+class Memory:
+    """Results by key in two generations of ``size`` each: a full young one becomes the old one, whose hits come back."""
+
+    def __init__(self, size: int, make: Callable):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size, self.make = size, make
+
+    def find(self, key):
+        """The result for a key that the young generation lacks."""
+        row = self.old.get(key)
+        if row is None:
+            row = self.make(key)
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = row
+        return row
+
+
 class ForcedBoundaryBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -54,10 +77,13 @@ class ForcedBoundaryBpe:
         self.letters = byte_letters()
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.numbers = {t: str(i) for t, i in self.ids.items()}
+        self.plain = not any(t.isalpha() for t in self.special)  # words of letters hold no special token
         bare = (t.removesuffix(_END) for t in self.ids)
         self.joined = {t[i:i + 2] for t in bare for i in range(len(t) - 1)}
-        self.words: dict[str, tuple[str, str, int]] = {}
-        self.pieces: dict[str, tuple[str, str, int]] = {}
+        self.pieces = Memory(REMEMBERED // 2, self.piece)
+        self.words = Memory(REMEMBERED // 4, self.word)
+        self.fragments = Memory(REMEMBERED // 4, self.inner)
 
     def cut(self, word: str) -> list[str]:
         """``word`` (as byte letters) cut between pairs that no token holds."""
@@ -68,58 +94,66 @@ class ForcedBoundaryBpe:
                 start = i
         return [*out, word[start:]]
 
-    def merge(self, fragment: str, last: bool) -> list[int]:
-        parts = list(fragment)
-        if last:
-            parts[-1] += _END
+    def merge(self, parts: list[str]) -> list[str]:
+        """The tokens that letters are merged into, the pair of least rank first."""
         rank = self.ranks.get
         ranks = [rank(pair, _NEVER) for pair in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < _NEVER:
+        while ranks:
+            least = min(ranks)
+            if least == _NEVER:
+                break
             at = ranks.index(least)
-            parts[at] += parts.pop(at + 1)
+            parts[at] = left = parts[at] + parts.pop(at + 1)
             del ranks[at]
             if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), _NEVER)
+                ranks[at - 1] = rank((parts[at - 1], left), _NEVER)
             if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), _NEVER)
-        return [self.ids[p] for p in parts]
+                ranks[at] = rank((left, parts[at + 1]), _NEVER)
+        return parts
+
+    def inner(self, fragment: str) -> list[str]:
+        """Tokens of a fragment that does not end its word."""
+        return self.merge(list(fragment))
 
     def word(self, word: str) -> tuple[str, str, int]:
         """Ids and tokens of one word, each joined by spaces, and their number."""
         letters = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])
-        whole = self.joined.issuperset(map(add, letters, letters[1:]))
-        cuts = [letters] if whole else self.cut(letters)
-        ids = [i for f in cuts[:-1] for i in self.merge(f, False)] + self.merge(cuts[-1], True)
-        return " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)
+        if self.joined.issuperset(map(add, letters, letters[1:])):
+            parts = list(letters)
+            parts[-1] += _END
+            tokens = self.merge(parts)
+        else:
+            *cuts, last = self.cut(letters)
+            parts = list(last)
+            parts[-1] += _END
+            known, found = self.fragments.young, self.fragments.find
+            tokens = [t for f in cuts for t in known.get(f) or found(f)] + self.merge(parts)
+        return " ".join([self.numbers[t] for t in tokens]), " ".join(tokens), len(tokens)
 
     def piece(self, piece: str) -> tuple[str, str, int]:
         """As ``word`` for a text without white space."""
+        if self.plain and piece.isascii() and piece.isalpha():
+            word = piece.lower()
+            return self.words.young.get(word) or self.words.find(word)
         rows = []
-        for part in self.split_special.split(piece) if any(x in piece for x in self.special) else [piece]:
+        for part in self.split_special.split(piece) if self.split_special and self.split_special.search(piece) else [piece]:
             if part in self.special:
                 rows.append((str(self.special[part]), part, 1))
                 continue
             # each letter is lowered by itself, so a final sigma gets no form of its own
             lowered = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in [lowered] if lowered.isascii() and lowered.isalpha() else _WORDS.findall(lowered):
-                if (row := self.words.get(word)) is None:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    row = self.words[word] = self.word(word)
-                rows.append(row)
+            for word in (_ASCII_WORDS if lowered.isascii() else _WORDS).findall(lowered):
+                rows.append(self.words.young.get(word) or self.words.find(word))
         return rows[0] if len(rows) == 1 else together(rows)
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """As ``piece`` for a whole text."""
-        known, out = self.pieces, []
-        for piece in _SPACE.split(text) if _NOT_SPACE.search(text) else text.split():
-            if (row := known.get(piece)) is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                row = known[piece] = self.piece(piece)
-            if row[2]:
-                out.append(row)
-        return together(out)
+        pieces = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
+        find = self.pieces.find
+        rows = list(map(self.pieces.young.get, pieces))
+        if None in rows:
+            rows = [find(piece) if row is None else row for piece, row in zip(pieces, rows)]
+        return together([r for r in rows if r[2]])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)
