@@ -11,9 +11,9 @@ ranges and the rows of the range with the cut are both about the square root of
 
 Documents are taken whole, so a source comes as near its target as the sizes of its documents allow.
 
-Random numbers are hashes of seed and doc_id, so reruns agree. A null text has no words. A null source is a
-source of its own, last in order. Sources without words get target 0. Rows that repeat doc_id are separate
-rows. An empty table gives an empty result.
+Random numbers are hashes of seed and doc_id, and for rows without doc_id or with a repeated one also of source, text and
+a number among rows equal in these, so reruns agree and each row is drawn for itself. A null text has no words. A null source is a
+source of its own, last in order. Sources without words get target 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,22 +80,49 @@ def _rates(classes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     return rows.select("key", "class", copies.alias("expected"))
 
 
+#: What tells rows apart that are drawn; rows equal in these are told apart by a number.
+_SAME = ["doc_id", "key", "hash"]
+#: Tasks among which equal rows are numbered.
+_DEALT = 64
+
+
+def _identity() -> list[Column]:
+    """doc_id, source key and text hash of a row."""
+    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    return [F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("hash")]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (stored) with ``among``: null where a doc_id names one row, else a number that differs among rows equal in _SAME."""
+    deal = F.pmod(F.col("row"), F.lit(_DEALT))
+    several = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    dealt = several.select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))).alias("_to"))
+    repeated = rows.join(dealt, (F.col("doc_id") == F.col("_id")) & (deal == F.col("_to")), "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
+    order = Window.partitionBy(*_SAME, "_deal").orderBy("row")
+    numbers = stored(repeated.withColumn("_deal", deal).select("row", (F.row_number().over(order) * _DEALT + F.col("_deal")).alias("among")))
+    return rows.join(numbers, "row", "left")
+
+
 def mixed(docs: DataFrame, seed: int = 1, most: float = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken."""
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    return _plan(docs, seed, most).drop("key", "hash", "certain")
+
+
+def _plan(docs: DataFrame, seed: int, most: float) -> DataFrame:
     rows = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), word_count("text").alias("size"))
+        docs.select(*_identity(), word_count("text").alias("size"), F.monotonically_increasing_id().alias("row"))
         .withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(0).cast("int")))
     classes = stored(rows.groupBy("key", "class").agg(F.sum("size").cast("double").alias("words"), F.count("*").alias("n")))
     targets = stored(source_targets(classes.groupBy("key").agg(F.sum("words").alias("size")), most))
     rates = stored(_rates(classes, targets, most))
     spread = targets.join(classes.groupBy("key").agg(F.ceil(F.sqrt(F.sum("n"))).cast("long").alias("ranges")), "key")
 
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = F.when(F.col("among").isNull(), F.xxhash64(F.lit(seed), "doc_id")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "key", "hash", "among"))
+    u = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / float(1 << 53)
     p = F.col("expected") - F.floor("expected")
     odds = (u / (1 - u)) / (p / (1 - p))
     plan = stored(
-        rows.join(rates, ["key", "class"]).join(spread.select("key", F.col("size").alias("source_size"), "target", "ranges"), "key")
+        _numbered(rows).join(rates, ["key", "class"]).join(spread.select("key", F.col("size").alias("source_size"), "target", "ranges"), "key")
         .withColumn("certain", F.floor("expected").cast("long"))
         .withColumn("rank", F.when((p > 0) & (F.col("size") > 0), odds / (1 + odds)))
         .withColumn("range", F.floor(F.col("rank") * F.col("ranges")).cast("long"))
@@ -114,32 +141,74 @@ def mixed(docs: DataFrame, seed: int = 1, most: float = MOST) -> DataFrame:
     cut = stored(cut)
 
     near = plan.where(F.col("rank").isNotNull()).join(cut, "key").where(F.col("range") == F.col("cut"))
-    order = Window.partitionBy("key").orderBy("rank", "doc_id", "size")
+    order = Window.partitionBy("key").orderBy("rank", "row")
     near = near.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     last = near.where(F.col("upto") <= F.col("wanted")).groupBy("key").agg(
-        F.max(F.struct("rank", "doc_id", "size")).alias("last"), F.max("upto").alias("reached"))
+        F.max(F.struct("rank", "row")).alias("last"), F.max("upto").alias("reached"))
     edge = stored(cut.join(last, "key", "left").select(
         "key", "cut", "wanted", "last", F.coalesce("reached", "before").alias("reached")))
 
-    place = F.struct("rank", "doc_id", "size")
+    place = F.struct("rank", "row")
     inside = F.col("rank").isNotNull() & ((F.col("range") < F.col("cut")) | ((F.col("range") == F.col("cut")) & F.coalesce(place <= F.col("last"), F.lit(False))))
     taken = plan.join(edge, "key", "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
     gap = F.abs(F.col("wanted") - F.col("reached") - F.col("size"))
     fit = stored(
         taken.where(~F.col("inside") & F.col("rank").isNotNull() & (gap < F.abs(F.col("wanted") - F.col("reached"))))
-        .groupBy("key").agg(F.min(F.struct(gap.alias("gap"), "rank", "doc_id", "size")).alias("fit")))
-    extra = F.col("inside") | F.coalesce((F.col("fit.rank") == F.col("rank")) & F.col("fit.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("fit.size") == F.col("size")), F.lit(False))
+        .groupBy("key").agg(F.min(F.struct(gap.alias("gap"), "rank", "row")).alias("fit")))
+    extra = F.col("inside") | F.coalesce(F.col("fit.row") == F.col("row"), F.lit(False))
     copies = F.col("certain") + extra.cast("long")
     return taken.join(fit, "key", "left").select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target"),
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key", "hash", "certain")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with its _SAME columns out of the way of a table's own names."""
+    return rows.select(*[F.col(c).alias(f"__of_{c}") if c in _SAME else F.col(c).alias(f"__{c}") for c in rows.columns])
+
+
+def _is_same() -> Column:
+    terms = [F.col(f"__own_{c}").eqNullSafe(F.col(f"__of_{c}")) for c in _SAME]
+    return terms[0] & terms[1] & terms[2]
+
+
+def _allotted(held: DataFrame, several: DataFrame) -> DataFrame:
+    """(__own..., __content, __times): how often each of several rows with one doc_id, source and text is taken.
+
+    Each has its certain copies; the further ones go to the first rows by their content. Counted in buckets, so rows of one
+    kind are numbered by many tasks.
+    """
+    own = [f"__own_{c}" for c in _SAME]
+    bucket = F.pmod(F.col("__content"), F.lit(_DEALT))
+    sums = held.groupBy(*own, bucket.alias("__bucket")).agg(F.sum("__m").alias("__sum"))
+    until = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(until), F.lit(0))).select(*[F.col(c).alias(f"_{c}") for c in own], F.col("__bucket").alias("___bucket"), "__offset")
+    inside = Window.partitionBy(*own, "__bucket").orderBy("__content").rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.withColumn("__bucket", bucket).withColumn("__inside", F.coalesce(F.sum("__m").over(inside), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*own, "__bucket")]
+    before = F.col("__inside") + F.col("__offset")
+    further = F.col("__copies") - F.col("__n") * F.col("__certain")
+    extra = F.least(F.greatest(further - before, F.lit(0)), F.col("__m"))
+    return placed.join(offsets, same).join(_named(several), _is_same()).select(
+        *own, "__content", (F.col("__m") * F.col("__certain") + extra).cast("int").alias("__times"))
 
 
 def mix(docs: DataFrame, seed: int = 1, most: float = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    plan = mixed(docs, seed, most).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    return (
-        docs.withColumn("__words", word_count("text"))
-        .join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .select(*[docs[c] for c in docs.columns]))
+    plan = stored(_plan(docs, seed, most).groupBy(*_SAME).agg(
+        F.count("*").alias("n"), F.sum("copies").alias("copies"), F.max("certain").alias("certain")).where(F.col("copies") > 0))
+    single, several = plan.where(F.col("n") == 1), plan.where(F.col("n") > 1)
+    own = docs.select("*", *[x.alias(f"__own_{c}") for x, c in zip(_identity(), _SAME)])
+    once = own.join(_named(single), _is_same()).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    # rows that share doc_id, source and text are dealt, and collapse where they are equal in all columns
+    dealt = _named(several.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1)))))
+    deal = own.withColumn("__own_deal", F.pmod(F.monotonically_increasing_id(), F.lit(_DEALT)))
+    alike = deal.join(dealt, _is_same() & (F.col("__own_deal") == F.col("__deal")), "left_semi")
+    held = alike.groupBy(*docs.columns, *[f"__own_{c}" for c in _SAME]).agg(F.count("*").alias("__m"))
+    held = held.withColumn("__content", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    held = stored(held)
+    times = _allotted(held.groupBy(*[f"__own_{c}" for c in _SAME], "__content").agg(F.sum("__m").alias("__m")), several)
+    times = times.select(*[F.col(f"__own_{c}").alias(f"__of_{c}") for c in _SAME], F.col("__content").alias("__of_content"), "__times")
+    again = held.join(times, _is_same() & (F.col("__content") == F.col("__of_content"))).where(F.col("__times") > 0)
+    again = again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
