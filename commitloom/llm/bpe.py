@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from commitloom.llm.tables import per_batch, texts
 
-#: Pieces remembered by one worker, and as many words and fragments together.
+#: Pieces, words and fragments remembered by one worker come to twice this number.
 REMEMBERED = 150_000
 # Fixed values of the public vocabulary's normaliser and splitter.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -80,24 +80,15 @@ class ForcedBoundaryBpe:
         self.numbers = {t: str(i) for t, i in self.ids.items()}
         self.plain = not any(t.isalpha() for t in self.special)  # words of letters hold no special token
         bare = (t.removesuffix(_END) for t in self.ids)
-        self.joined = {t[i:i + 2] for t in bare for i in range(len(t) - 1)}
-        self.pieces = Memory(REMEMBERED // 2, self.piece)
+        # rank of the letter pairs that some token holds; all others are forced boundaries
+        self.pairs = {t[i:i + 2]: self.ranks.get((t[i], t[i + 1]), _NEVER) for t in bare for i in range(len(t) - 1)}
+        self.pieces = Memory(REMEMBERED * 2 // 3, self.piece)
         self.words = Memory(REMEMBERED // 4, self.word)
-        self.fragments = Memory(REMEMBERED // 4, self.inner)
-
-    def cut(self, word: str) -> list[str]:
-        """``word`` (as byte letters) cut between pairs that no token holds."""
-        out, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1:i + 1] not in self.joined:
-                out.append(word[start:i])
-                start = i
-        return [*out, word[start:]]
-
-    def merge(self, parts: list[str]) -> list[str]:
-        """The tokens that letters are merged into, the pair of least rank first."""
+        self.fragments = Memory(REMEMBERED // 12, self.inner)
+
+    def merge(self, parts: list[str], ranks: list[int]) -> list[str]:
+        """The tokens that neighbouring parts are merged into, the pair of least rank first."""
         rank = self.ranks.get
-        ranks = [rank(pair, _NEVER) for pair in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == _NEVER:
@@ -111,24 +102,34 @@ class ForcedBoundaryBpe:
                 ranks[at] = rank((left, parts[at + 1]), _NEVER)
         return parts
 
+    def fragment(self, letters: str, pairs: list[int], last: bool) -> list[str]:
+        """Tokens of a fragment whose pairs of letters have the given ranks."""
+        parts = list(letters)
+        if last:
+            parts[-1] += _END
+            if pairs:
+                pairs[-1] = self.ranks.get((parts[-2], parts[-1]), _NEVER)
+        return self.merge(parts, pairs)
+
     def inner(self, fragment: str) -> list[str]:
         """Tokens of a fragment that does not end its word."""
-        return self.merge(list(fragment))
+        return self.fragment(fragment, list(map(self.pairs.get, map(add, fragment, fragment[1:]))), False)
 
     def word(self, word: str) -> tuple[str, str, int]:
         """Ids and tokens of one word, each joined by spaces, and their number."""
         letters = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])
-        if self.joined.issuperset(map(add, letters, letters[1:])):
-            parts = list(letters)
-            parts[-1] += _END
-            tokens = self.merge(parts)
+        pairs = list(map(self.pairs.get, map(add, letters, letters[1:])))
+        if None in pairs:  # pairs that no token holds are cuts
+            known, found, tokens, start = self.fragments.young, self.fragments.find, [], 0
+            while None in pairs[start:]:
+                end = pairs.index(None, start) + 1
+                fragment = letters[start:end]
+                tokens += known.get(fragment) or found(fragment)
+                start = end
+            tokens += self.fragment(letters[start:], pairs[start:], True)
         else:
-            *cuts, last = self.cut(letters)
-            parts = list(last)
-            parts[-1] += _END
-            known, found = self.fragments.young, self.fragments.find
-            tokens = [t for f in cuts for t in known.get(f) or found(f)] + self.merge(parts)
-        return " ".join([self.numbers[t] for t in tokens]), " ".join(tokens), len(tokens)
+            tokens = self.fragment(letters, pairs, True)
+        return " ".join(map(self.numbers.__getitem__, tokens)), " ".join(tokens), len(tokens)
 
     def piece(self, piece: str) -> tuple[str, str, int]:
         """As ``word`` for a text without white space."""
