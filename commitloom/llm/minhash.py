@@ -9,9 +9,11 @@ Every group has one hub, the member that shares bands with the most texts, and e
 by exact weighted Jaccard. Members of one hub that are still apart are compared where a link is possible at all.
 Seen from the hub a text has shingles inside and outside the hub's set. Two texts that are similar share one of
 their first outside shingles, rare ones first, which hold just over 1 - SIMILAR of each text's weight, early enough
-that what is left from there on suffices, or their inside weights alone reach the overlap they need. Both are equi joins that lose no link; pairs ruled out by their weights, or by the
-triangle inequality of the distance to the hub, are not compared. So two rounds settle groups of every size. Texts
-with equal words are one node from the start.
+that what is left from there on suffices, or their inside weights alone reach the overlap they need. Pairs ruled out by
+that, by their weights, or by the triangle inequality of the distance to the hub are not compared, nor are pairs that
+other links have connected. This is done in blocks of a hub's members, each two of which meet in one task that passes on
+only links that join components. So two rounds settle groups of every size and lose no link between components. Texts with
+equal words are one node from the start.
 
 Null and empty texts have no shingles; they are copies of each other. Texts of fewer than five words have
 one shingle of all their words. A class is named by its least doc_id; rows without doc_id come last.
@@ -25,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitloom.llm.components import components, shortened
@@ -38,12 +40,12 @@ BANDS, ROWS = 14, 4
 #: Counters of the hashed document-frequency table: the fixed size of what is broadcast.
 COUNTERS = 1 << 16
 IDF_FLOOR = 0.9
-#: Members of a group that one task compares with a hub.
+#: Members of a group that one task compares with a hub, or of a block that meets another.
 MEMBERS = 512
+#: Bytes of text of a block.
+BLOCK_BYTES = 8 << 20
 #: Room for rounding in bounds that rule pairs out.
 SLACK = 1e-3
-#: Cells per unit of the logarithm of a weight.
-CELLS = 100
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -228,43 +230,96 @@ def _apart(stars: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(largest.select("hub", F.col("top.component").alias("top")), "hub").withColumn("main", F.col("component") == F.col("top")).drop("top")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(hub, node): pairs of ``rows`` of one hub, of different components, that can be similar; see the module's head."""
-    columns = ["node", "component", "main", "similarity", "weight", "inside"]
-
-    def side(name: str, *more: Column) -> DataFrame:
-        return rows.select("hub", *more, *(F.col(c).alias(f"{name}_{c}") for c in columns))
-
-    needed = (F.col("a_weight") + F.col("b_weight")) * (SIMILAR / (1 + SIMILAR) * (1 - SLACK))
-    inside = F.least("a_inside", "b_inside")
-    possible = (
-        (F.col("a_component") != F.col("b_component"))
-        & (F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * (SIMILAR - SLACK))
-        & (F.abs(F.col("a_similarity") - F.col("b_similarity")) <= 1 - SIMILAR + SLACK)
-        & (inside + F.least(F.col("a_weight") - F.col("a_inside"), F.col("b_weight") - F.col("b_inside")) >= needed))
-    def first(name: str) -> DataFrame:
-        of = rows.select("hub", "left", *(F.col(c).alias(f"{name}_{c}") for c in columns), F.posexplode("outside").alias("pos", "shingle"))
-        return of.withColumn(f"{name}_left", F.col("left")[F.col("pos")]).drop("pos", "left")
-
-    # of two components at most one is the hub's largest; that side never leads
-    sharing = (
-        first("a").where(~F.col("a_main")).join(first("b"), ["hub", "shingle"])
-        .where(possible & (inside + F.least("a_left", "b_left") >= needed) & (F.col("b_main") | (F.col("a_node") < F.col("b_node")))))
-
-    def cell(weight: Column) -> Column:
-        return F.floor(F.log(weight) * CELLS).cast("int")
-
-    # the text with less inside, a, needs a partner with both its weights between a's inside weight and this end
-    end = F.col("inside") * ((1 + SIMILAR) / SIMILAR) - F.col("weight")
-    low, high = F.col("inside") * (1 - SLACK), F.greatest(end, F.col("inside")) * (1 + SLACK)
-    reach = F.explode(F.when(F.col("inside") >= F.col("weight") * (SIMILAR - SLACK), F.sequence(cell(low), cell(high)))).alias("cell")
-    less = (F.col("a_inside") <= F.col("b_inside") * (1 + SLACK)) & (inside >= needed) & possible
-    by_weight = side("a", reach).where(~F.col("a_main")).join(side("b", cell(F.col("weight")).alias("cell")), ["hub", "cell"]).where(less)
-    by_inside = (
-        side("a", reach).where(F.col("a_main"))
-        .join(side("b", cell(F.col("inside")).alias("cell")).where(~F.col("b_main") & (F.col("b_inside") > 0)), ["hub", "cell"]).where(less))
-    leading = [x.select(F.col(f"{p}_node").alias("hub"), F.col(f"{q}_node").alias("node")) for x, p, q in ((sharing, "a", "b"), (by_weight, "a", "b"), (by_inside, "b", "a"))]
-    return leading[0].unionByName(leading[1]).unionByName(leading[2]).distinct()
+class _Sets:
+    """Union-find over the numbers 0 .. n - 1."""
+
+    def __init__(self, names: list):
+        first: dict = {}
+        self.up = [first.setdefault(name, i) for i, name in enumerate(names)]
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def _earlier(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a hub the members before it, of other blocks where there are two, that can be similar to it."""
+    similarity, weight, inside = (rows.column(c).to_numpy() for c in ("similarity", "weight", "inside"))
+    block, cross = rows.column("block").to_numpy(), rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    lists = rows.column("outside").combine_chunks()
+    shingle = lists.flatten().to_numpy()
+    left = rows.column("left").combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(weight)), lists.value_lengths().to_numpy())
+    order = np.lexsort((owner, shingle))
+    shingle, left, owner = shingle[order], left[order], owner[order]
+    begins = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
+    begin = np.repeat(begins, np.diff(np.append(begins, len(shingle))))
+    places = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[places], np.arange(len(weight) + 1))
+    share = SIMILAR / (1 + SIMILAR) * (1 - SLACK)
+    for x in range(1, len(weight)):
+        needed = (weight[:x] + weight[x]) * share
+        both = np.minimum(inside[:x], inside[x])
+        possible = (
+            (np.minimum(weight[:x], weight[x]) >= np.maximum(weight[:x], weight[x]) * (SIMILAR - SLACK))
+            & (np.abs(similarity[:x] - similarity[x]) <= 1 - SIMILAR + SLACK)
+            & (both + np.minimum(weight[:x] - inside[:x], weight[x] - inside[x]) >= needed))
+        if cross:
+            possible &= block[:x] != block[x]
+        if not possible.any():
+            continue
+        # their inside weights suffice, or they share one of their first outside shingles early enough
+        met = both >= needed
+        for p in places[bounds[x]:bounds[x + 1]]:
+            others = owner[begin[p]:p]
+            met[others] |= both[others] + np.minimum(left[begin[p]:p], left[p]) >= needed[others]
+        yield x, np.flatnonzero(met & possible)
+
+
+def _links(rows: DataFrame, found: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(hub, node): links between members of one hub that connect what is not yet connected; ``rows`` are those of _apart.
+
+    The members of a hub are dealt into blocks of at most MEMBERS rows and BLOCK_BYTES of text, and each two blocks meet in
+    one task. There pairs of different components that can be similar are compared, until their components are joined;
+    only the links that join some are passed on, fewer than there are members. No link between components is lost.
+    """
+    shared = found.sparkSession.sparkContext.broadcast(idf)
+    sizes = rows.select("hub", "node").join(found.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("hub").agg(
+        F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "hub").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "similarity", "weight", "inside", "outside", "left")
+
+    def connect(table: pa.Table) -> pa.Table:
+        names = table.column("node").to_pylist()
+        sets, known, out = _Sets(table.column("component").to_pylist()), {}, []
+
+        def shingled(x: int) -> tuple[np.ndarray, np.ndarray, float]:
+            if x not in known:
+                data = np.frombuffer(table.column("text")[x].as_py().encode(), np.uint8)
+                hashes, weights, _, _ = weighted(data, np.array([0, len(data)]), shared.value)
+                known[x] = hashes, weights, weights.sum()
+            return known[x]
+
+        for x, others in _earlier(table):
+            for y in others.tolist():
+                if sets.find(x) != sets.find(y):
+                    (h, w, a), (g, v, b) = shingled(x), shingled(y)
+                    at = np.searchsorted(g, h)
+                    hit = np.flatnonzero(at < len(g))
+                    hit = hit[g[at[hit]] == h[hit]]
+                    both = np.minimum(w[hit], v[at[hit]]).sum()
+                    if both / max(1e-9, a + b - both) >= SIMILAR:
+                        sets.join(x, y)
+                        out.append((names[x], names[y]))
+        return pa.table({"hub": pa.array([r[0] for r in out], pa.binary()), "node": pa.array([r[1] for r in out], pa.binary())})
+
+    return pairs.join(found, "node").groupBy("hub", "i", "j").applyInArrow(connect, "hub binary, node binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,8 +348,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     alike = F.col("similarity") >= SIMILAR
     ends = [F.col("hub").alias("a"), F.col("node").alias("b")]
     edges = shortened(stars.where(alike).select(*ends))
-    pairs = stored(_candidates(stored(_apart(stars, edges))))
-    edges = edges.unionByName(similarities(pairs, found, idf).where(alike).select(*ends))
+    edges = edges.unionByName(_links(stored(_apart(stars, edges)), found, idf).select(*ends))
     joined = nodes.select("node", "least", "n")
     joined = joined.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = joined.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))

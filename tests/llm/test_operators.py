@@ -368,8 +368,9 @@ def test_near_duplicates(docs, empty, rows):
     assert without_near_copies(docs).columns == docs.columns
 
 
-def test_near_duplicates_of_one_hub_lose_no_link(spark):
-    """One group of three families of edited texts: classes equal those of all pairs, from far fewer comparisons."""
+@pytest.mark.parametrize("members_of_a_block", [512, 40, 7])
+def test_near_duplicates_of_one_hub_lose_no_link(spark, monkeypatch, members_of_a_block):
+    """One group of three families of edited texts: classes equal those of all pairs, from few links."""
     import commitloom.llm.minhash as M
 
     rng = np.random.default_rng(3)
@@ -389,8 +390,9 @@ def test_near_duplicates_of_one_hub_lose_no_link(spark):
     members = found.selectExpr("node", "1L AS group", f"{len(ids)}L AS n")
     stars = M.stored(M.similarities(M._stars(members), found, idf, outside=True))
     edges = M.shortened(stars.where("similarity >= 0.8").selectExpr("hub AS a", "node AS b"))
-    pairs = M._candidates(M._apart(stars, edges))
-    links = edges.unionByName(M.similarities(pairs, found, idf).where("similarity >= 0.8").selectExpr("hub AS a", "node AS b"))
+    monkeypatch.setattr(M, "MEMBERS", members_of_a_block)
+    joining = M.stored(M._links(M._apart(stars, edges), found, idf))
+    links = edges.unionByName(joining.selectExpr("hub AS a", "node AS b"))
     classes = {bytes(r.node): bytes(r.component) for r in M.components(links).collect()}
     sets = []
     for text in texts:
@@ -405,7 +407,8 @@ def test_near_duplicates_of_one_hub_lose_no_link(spark):
             top = {k: new if v == old else v for k, v in top.items()}
     assert {i: classes.get(i, i) for i in ids} == top
     assert 5 < len(set(top.values())) < len(ids) - 5
-    assert pairs.count() < len(ids) * (len(ids) - 1) // 4
+    blocks = -(-len(ids) // members_of_a_block)
+    assert joining.count() < len(ids) * (blocks + 1)
 
 
 def test_components(spark):
