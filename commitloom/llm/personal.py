@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,14 +126,21 @@ def _term_hash(term: str) -> int:
 
 def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
     """(entity, term, start, end) of the terms within WINDOW words of a base span, outside all base spans."""
-    inside = sorted((a, b) for _, a, b in spans)
+    inside: list[list[int]] = []  # the base spans, merged where they overlap
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if inside and a < inside[-1][1]:
+            inside[-1][1] = max(inside[-1][1], b)
+        else:
+            inside.append([a, b])
+    starts, ends = [a for a, _ in inside], [b for _, b in inside]
     out = []
     for kind, start, end in spans:
         value = text[start:end].lower() if kind == "email" else "".join(_DIGITS.findall(text[start:end]))
         entity = _hash(f"{kind}:{value}")
         for term in [*_before(text, start), *_after(text, end)]:
             a, b = term
-            if not any(x < b and a < y for x, y in inside):
+            at = bisect_right(ends, a)  # the first span that ends after the term begins
+            if at == len(ends) or starts[at] >= b:
                 out.append((entity, _term_hash(text[a:b]), a, b))
     return out
 
