@@ -151,8 +151,27 @@ def _bigram_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return mixed(hashes[:-1] * np.uint64(3) + hashes[1:])[same], text[1:][same]
 
 
+def _next(ids: np.ndarray) -> np.ndarray:
+    """Where each number stands next; the length where it does not."""
+    order = np.argsort(ids, kind="stable")
+    again = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
+    out = np.full(len(ids), len(ids))
+    out[order[again]] = order[again + 1]
+    return out
+
+
+def _numbers(flat: list[str]) -> tuple[dict[tuple[str, str], int], np.ndarray]:
+    """Numbers of the distinct bigrams, and the number at each place."""
+    numbers: dict[tuple[str, str], int] = {}
+    return numbers, np.array([numbers.setdefault(pair, len(numbers)) for pair in zip(flat, flat[1:])], np.int64)
+
+
 def best_match(text: str, threshold: float = THRESHOLD) -> tuple[str | None, float | None, int | None, int | None]:
-    """Licence, Dice coefficient and first and last line (from 0) of the best block of ``text``."""
+    """Licence, Dice coefficient and first and last line (from 0) of the best block of ``text``.
+
+    A block is not extended once all bigrams of its first line stand in its other lines: without that line it would be as
+    like and shorter. So lines that repeat do not make blocks grow.
+    """
     templates = _templates()
     known = set().union(*templates.values())
     lines = [words(line) for line in text.split("\n")]
@@ -161,14 +180,16 @@ def best_match(text: str, threshold: float = THRESHOLD) -> tuple[str | None, flo
     hits = [p for p, pair in enumerate(zip(flat, flat[1:])) if pair in known]
     touched = sorted({bisect_right(ends, p) for p in hits} | {bisect_right(ends, p + 1) for p in hits})
     largest = max(len(t) for t in templates.values()) * (2 - threshold) / threshold
+    upcoming = _next(_numbers(flat)[1])
     best: tuple | None = None
     for i in touched:
         block: set = set()
+        begin = ends[i - 1] if i else 0
+        covered = int(upcoming[begin:ends[i]].max(initial=-1))
         for j in range(i, len(lines)):
-            begin = ends[i - 1] if i else 0
             low = begin if j == i else max(begin, ends[j - 1] - 1)
             block |= set(zip(flat[low:ends[j]], flat[low + 1:ends[j]]))
-            if len(block) > largest:
+            if len(block) > largest or (j > i and ends[j] - 2 >= covered >= 0):
                 break
             if not lines[j]:
                 continue
@@ -183,17 +204,17 @@ def best_match(text: str, threshold: float = THRESHOLD) -> tuple[str | None, flo
 def windows(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int, int, int]]:
     """(licence, Dice coefficient, first and last word, first and last line, all from 0) of every match, likest first.
 
-    A window loses nothing by beginning and ending at bigrams of the template.
+    A window loses nothing by beginning and ending at bigrams of the template, nor by ending before its first bigram
+    comes again: beginning after it would leave the same bigrams in fewer words.
     """
     lines = [words(line) for line in text.split("\n")]
     flat = [w for line in lines for w in line]
     ends = np.cumsum([len(line) for line in lines]).tolist()
-    numbers: dict[tuple[str, str], int] = {}
-    ids = np.array([numbers.setdefault(pair, len(numbers)) for pair in zip(flat, flat[1:])], np.int64)
-    order = np.argsort(ids, kind="stable")
-    again = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
-    before = np.full(len(ids), -1)
-    before[order[again + 1]] = order[again]
+    numbers, ids = _numbers(flat)
+    upcoming = _next(ids)
+    before = np.full(len(ids) + 1, -1)
+    before[upcoming] = np.arange(len(ids))
+    before = before[:-1]
     out = []
     for name, template in _templates().items():
         shared = np.array([pair in template for pair in numbers], bool)
@@ -202,10 +223,11 @@ def windows(text: str, threshold: float = THRESHOLD) -> list[tuple[str, float, i
         common, largest = shared[ids], (2 - threshold) / threshold * len(template)
         found = []
         for i in np.flatnonzero(common).tolist():
-            reach = 2 * int(largest) + 2
+            end = int(upcoming[i])
+            reach = min(2 * int(largest) + 2, end - i)
             new = before[i:i + reach] < i
-            while i + reach < len(ids) and new.sum() <= largest:
-                reach *= 2
+            while i + reach < end and new.sum() <= largest:
+                reach = min(2 * reach, end - i)
                 new = before[i:i + reach] < i
             value = 2 * np.cumsum(new & common[i:i + reach]) / (np.cumsum(new) + len(template))
             k = int(value.argmax())
