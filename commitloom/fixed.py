@@ -152,5 +152,4 @@ LIST_LENGTH = 40
 CHUNK_WINDOW = 60
 CHUNK_OVERLAP = 8
 CHUNK_MAX_ENTITY = 120
-CHUNK_MAX_CHARS = 4000
 CHUNK_MIN_CHARS = 20

@@ -322,6 +322,30 @@ def module_stats(files: DataFrame, module_edges: DataFrame, by: Sequence[str] =
     )
 
 
+def module_externals(edges: DataFrame, files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """(keys, module, package, files): how many files of a module import each outside package. ``edges`` are merged."""
+    imports = edges.where((F.col("type") == "IMPORTS") & F.col("target").startswith("p:"))
+    module = files.select(*by, F.col("key").alias("source"), P.module_of(F.col("path")).alias("module"))
+    return imports.join(module, [*by, "source"]).groupBy(*by, "module", F.expr("substring(target, 3)").alias("package")).agg(F.count("*").alias("files"))
+
+
+def enrich_entities(entities: DataFrame, files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """Entities with path and size of their file, and their own lines."""
+    homes = files.select(*by, F.col("key").alias("file_key"), "path", "loc")
+    own = entities.select(*by, "file_key", "key", "qualified_name", (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
+    return own.join(homes, [*by, "file_key"]).select(*by, "key", "qualified_name", "path", "loc", "lines")
+
+
+def enrich_chunks(chunks: DataFrame, files: DataFrame, entities: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """Chunks (keys, path, entity_key, ...) with file key, the entity's name and type, and the node that owns them.
+
+    A chunk without an entity belongs to its file; a chunk of a file that is not there is left out.
+    """
+    homes = files.select(*by, "path", F.col("key").alias("file_key"))
+    named = entities.select(*by, F.col("key").alias("entity_key"), F.col("qualified_name").alias("entity_name"), F.col("type").alias("entity_type"))
+    return chunks.join(homes, [*by, "path"]).join(named, [*by, "entity_key"], "left").withColumn("owner", F.coalesce("entity_key", "file_key"))
+
+
 def directory_rollup(files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
     """LOC, churn and file count of every directory, the root (``''``) included."""
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitloom.functions.scores import week_start
-from commitloom.operators.skew import top_per_group
+from commitloom.operators.skew import share_at_most, top_per_group
 
 REPO = ("repo_id",)
 
@@ -42,7 +42,7 @@ def dedupe_commits(commits: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
     return commits.dropDuplicates([*by, "sha"])
 
 
-def kept_changes(changes: DataFrame, limit: int = 300, by: Sequence[str] = REPO) -> DataFrame:
+def kept_changes(changes: DataFrame, limit: int, by: Sequence[str] = REPO) -> DataFrame:
     """At most ``limit`` changed files of every commit, in path order."""
     return top_per_group(changes, [*by, "sha"], [F.col("path")], limit)
 
@@ -86,9 +86,9 @@ def co_change_pairs(
 
 def co_change(
     changes: DataFrame, files: DataFrame, commits: DataFrame, min_pairs: int | None = None,
-    top: int = 20000, few_commits: int = 30, by: Sequence[str] = REPO,
+    top: int | None = None, few_commits: int = 30, by: Sequence[str] = REPO,
 ) -> DataFrame:
-    """CO_CHANGED edges: the ``top`` strongest pairs seen at least ``min_pairs`` times.
+    """CO_CHANGED edges: the pairs seen at least ``min_pairs`` times, or the ``top`` strongest of each repository.
 
     Without ``min_pairs`` a repository with fewer than ``few_commits`` commits keeps single sightings.
     """
@@ -99,21 +99,19 @@ def co_change(
         sizes = commits.groupBy(*by).agg(F.count("*").alias("_commits"))
         needed = F.when(F.col("_commits") < few_commits, 1).otherwise(2)
         strong = pairs.join(sizes, list(by)).where(F.col("together") >= needed).drop("_commits")
-    kept = top_per_group(
-        strong, by, [F.col("together").desc(), F.col("file_a"), F.col("file_b")], top
-    )
+    kept = strong if top is None else top_per_group(strong, by, [F.col("together").desc(), F.col("file_a"), F.col("file_b")], top)
     return kept.select(
         *by, F.concat(F.lit("f:"), "file_a").alias("source"), F.concat(F.lit("f:"), "file_b").alias("target"),
         F.lit("CO_CHANGED").alias("type"), F.col("together").cast("double").alias("weight"),
     )
 
 
-def newest_commits(commits: DataFrame, limit: int = 2000, by: Sequence[str] = REPO) -> DataFrame:
+def newest_commits(commits: DataFrame, limit: int, by: Sequence[str] = REPO) -> DataFrame:
     return top_per_group(commits, by, [F.col("committed_at").desc(), F.col("sha")], limit)
 
 
-def weekly_activity(commits: DataFrame, max_weeks: int = 520, by: Sequence[str] = REPO) -> DataFrame:
-    """Commits and changed lines per week from the first to the last week, empty weeks included."""
+def weekly_activity(commits: DataFrame, max_weeks: int | None = None, by: Sequence[str] = REPO) -> DataFrame:
+    """Commits and changed lines per week from the first to the last week, or the ``max_weeks``-th; empty weeks included."""
     weeks = commits.groupBy(*by, week_start(F.col("committed_at")).alias("week")).agg(
         F.count("*").alias("commits"),
         F.sum("additions").alias("additions"),
@@ -122,7 +120,7 @@ def weekly_activity(commits: DataFrame, max_weeks: int = 520, by: Sequence[str]
     calendar = (
         weeks.groupBy(*by)
         .agg(F.min("week").alias("_first"), F.max("week").alias("_last"))
-        .withColumn("_until", F.least("_last", F.date_add("_first", 7 * (max_weeks - 1))))
+        .withColumn("_until", F.col("_last") if max_weeks is None else F.least("_last", F.date_add("_first", 7 * (max_weeks - 1))))
         .select(*by, F.explode(F.expr("sequence(_first, _until, interval 7 days)")).alias("week"))
     )
     zero = F.lit(0).cast("long")
@@ -143,9 +141,10 @@ def contributor_totals(commits: DataFrame, by: Sequence[str] = REPO) -> DataFram
     )
 
 
-def contributors(commits: DataFrame, top: int = 30, by: Sequence[str] = REPO) -> DataFrame:
-    order = [F.col("commits").desc(), F.col("author_email")]
-    return top_per_group(contributor_totals(commits, by), by, order, top)
+def contributors(commits: DataFrame, top: int | None = None, by: Sequence[str] = REPO) -> DataFrame:
+    """Totals of every contributor, or of the ``top`` most active ones of each repository."""
+    totals = contributor_totals(commits, by)
+    return totals if top is None else top_per_group(totals, by, [F.col("commits").desc(), F.col("author_email")], top)
 
 
 def history_totals(commits: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
@@ -194,10 +193,10 @@ def recent_with_files(
     return recent.join(files.select(*by, "sha", "path", "change_type"), [*by, "sha"], "left")
 
 
-def commit_percentile(metrics: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
-    from commitloom.operators.skew import share_at_most
-
-    return share_at_most(metrics, by, "commit_count", "percentile")
+def commit_percentile(metrics: DataFrame, files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """Per repository and commit count: the share of all its ``files`` changed at most so often, unchanged ones included."""
+    counts = files.select(*by, "path").distinct().join(metrics.select(*by, "path", "commit_count"), [*by, "path"], "left")
+    return share_at_most(counts.withColumn("commit_count", F.coalesce("commit_count", F.lit(0).cast("long"))), by, "commit_count", "percentile")
 
 
 def relative_to_max(df: DataFrame, score: str, out: str, by: Sequence[str] = REPO) -> DataFrame:

@@ -55,13 +55,13 @@ def file_set_difference(new: DataFrame, old: DataFrame, by: Sequence[str] = ())
 
 def latest_valid_answer(
     questions: DataFrame, log: DataFrame, snapshots: DataFrame | None = None, by: Sequence[str] = (),
-    considered: int | None = 300,
+    considered: int | None = None,
 ) -> DataFrame:
     """As-of join: the newest usable answer to the same question since the snapshot.
 
     ``questions`` holds (keys, query_id, question, asked_at); ``log`` holds (keys, question, answer,
-    provider, created_at). Of the log rows after the snapshot with a provider, only the newest
-    ``considered`` per repository are looked at (None: all).
+    provider, created_at). Of the log rows after the snapshot with a provider all are looked at, or the newest
+    ``considered`` per repository.
     ``snapshots`` holds (keys, snapshot_at) and needs ``by``.
     """
     from commitloom.operators.skew import top_per_group
@@ -112,20 +112,35 @@ def impact_input_hash(targets: Column, description: Column, diff: Column) -> Col
     )
 
 
-def snapshot_fingerprint(files: DataFrame, by: Sequence[str] = REPO, digits: int = 3) -> DataFrame:
-    """A hash of all (path, hash) pairs of a repository, independent of their order.
+#: Numbers of 60 bits that a (path, hash) pair adds to a fingerprint.
+_PARTS = [f"s{i}" for i in range(4)]
 
-    Two levels, so that no task holds a repository: pairs fall into 16^``digits`` buckets by the hash
-    of their path, each bucket's sorted lines give a digest, and the digests in bucket order give the
-    fingerprint.
+
+def fingerprint_state(files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """(keys, n, s0 .. s3): sums over all (path, hash) pairs of a repository, each pair a wide hash of four numbers.
+
+    Sums do not depend on order and are made before anything is shuffled; they are exact, so states add and subtract. Null
+    paths and hashes read as empty.
     """
-    digests = files.groupBy(*by, F.substring(F.sha1("path"), 1, digits).alias("_b")).agg(
-        F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash"))), "\n")).alias("_d")
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("_b", "_d")))
-    return digests.groupBy(*by).agg(
-        F.sha1(F.array_join(F.transform(in_order, lambda x: x["_d"]), "\n")).alias("fingerprint")
-    )
+    pair = F.sha2(F.concat(F.length(F.coalesce("path", F.lit(""))).cast("string"), F.lit(":"), F.coalesce("path", F.lit("")), F.coalesce("hash", F.lit(""))), 256)
+    number = lambda i: F.conv(F.substring(pair, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
+    return files.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(number(i)).cast("decimal(38,0)").alias(c) for i, c in enumerate(_PARTS)])
+
+
+def change_state(state: DataFrame, added: DataFrame, removed: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """The state after the rows of ``added`` came and those of ``removed`` went, from their states alone."""
+    less = removed.select(*by, *[(-F.col(c)).alias(c) for c in ("n", *_PARTS)])
+    every = state.unionByName(added).unionByName(less).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *_PARTS)])
+    return every.select(*by, F.col("n").cast("long").alias("n"), *[F.col(c).cast("decimal(38,0)").alias(c) for c in _PARTS]).where(F.col("n") > 0)
+
+
+def fingerprint(state: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    return state.select(*by, F.sha1(F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", *_PARTS)])).alias("fingerprint"))
+
+
+def snapshot_fingerprint(files: DataFrame, by: Sequence[str] = REPO) -> DataFrame:
+    """A hash of all (path, hash) pairs of a repository, independent of their order."""
+    return fingerprint(fingerprint_state(files, by), by)
 
 
 def find_duplicate_repos(new: DataFrame, existing: DataFrame) -> DataFrame:

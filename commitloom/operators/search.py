@@ -67,12 +67,21 @@ def rrf_fuse(lists: Sequence[DataFrame], query: Sequence[str] = QUERY) -> DataFr
     )
 
 
+def _owned(chunks: DataFrame) -> DataFrame:
+    """(owner, doc_id, chunk_index): every chunk below the node that owns it and, where it has one, below its file."""
+    own = chunks.select("owner", "doc_id", "chunk_index")
+    if "file_key" not in chunks.columns:
+        return own
+    return own.unionByName(chunks.where(F.col("file_key").isNotNull()).select(F.col("file_key").alias("owner"), "doc_id", "chunk_index")).distinct()
+
+
 def chunks_for_nodes(nodes: DataFrame, chunks: DataFrame, k: int, query: Sequence[str] = QUERY) -> DataFrame:
     """The first ``k`` chunks of every node (query, key, node_position): (query, doc_id, position).
 
-    ``chunks`` holds (doc_id, owner, chunk_index). Positions follow nodes, then chunk order.
+    ``chunks`` holds (doc_id, owner, chunk_index) and may hold file_key: a file then stands for all chunks of the file, also
+    those its entities own. Positions follow nodes, then chunk order.
     """
-    first = top_per_group(chunks.select("owner", "doc_id", "chunk_index"), ["owner"], [F.col("chunk_index"), F.col("doc_id")], k)
+    first = top_per_group(_owned(chunks), ["owner"], [F.col("chunk_index"), F.col("doc_id")], k)
     rows = nodes.join(first, nodes["key"] == first["owner"]).select(*query, "node_position", "chunk_index", "doc_id")
     # a query has at most a few dozen nodes with k chunks each
     order = Window.partitionBy(*query).orderBy("node_position", "chunk_index", "doc_id")
@@ -138,23 +147,61 @@ def retrieve(
     )
 
 
-def context_table(picked: DataFrame, chunks: DataFrame, most_chars: int = 3500) -> DataFrame:
-    """Numbered excerpts of the picked chunks."""
+def context_table(picked: DataFrame, chunks: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """Numbered excerpts of the picked chunks, whole or their first ``most_chars`` characters."""
     body = chunks.select("doc_id", "text", "start_line", "end_line")
     header = F.concat(
         F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("path"), F.lit(":"),
         F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
     )
-    return picked.join(body, "doc_id").select(
-        "query_id", "position", F.concat(header, F.lit("\n"), F.substring("text", F.lit(1), F.lit(most_chars))).alias("excerpt")
-    )
+    text = F.col("text") if most_chars is None else F.substring("text", F.lit(1), F.lit(most_chars))
+    return picked.join(body, "doc_id").select("query_id", "position", F.concat(header, F.lit("\n"), text).alias("excerpt"))
 
 
-def earlier_answers(log: DataFrame, most: int = 3, most_chars: int = 600, by: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """The newest answers before a question, oldest first, as one text."""
-    recent = top_per_group(
-        log.where(F.col("answer").isNotNull()), by, [F.col("created_at").desc(), F.col("question")], most, rank="_n"
-    )
-    line = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), F.substring("answer", F.lit(1), F.lit(most_chars)))
-    listed = recent.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("o"), line.alias("t")))).alias("_l"))
-    return listed.select(*by, F.array_join(F.transform("_l", lambda x: x["t"]), "\n\n").alias("conversation"))
+def retrieved_facts(picked: DataFrame, seeds: DataFrame, chunks: DataFrame, facts: DataFrame, query: Sequence[str] = QUERY) -> DataFrame:
+    """(query, position, key, fact): the facts of a question's seeds, then of the nodes that own its chunks, each once."""
+    owners = picked.join(chunks.select("doc_id", "owner"), "doc_id").select(*query, F.col("owner").alias("key"), F.lit(1).alias("_part"), F.col("position").alias("_at"))
+    keys = seeds.select(*query, "key", F.lit(0).alias("_part"), F.col("position").alias("_at")).unionByName(owners)
+    first = keys.groupBy(*query, "key").agg(F.min(F.struct("_part", "_at")).alias("_first"))
+    known = first.join(facts.select("key", "fact"), "key")
+    # a question has a few seeds and chunks
+    order = Window.partitionBy(*query).orderBy("_first", "key")
+    return known.withColumn("position", F.row_number().over(order)).select(*query, "position", "key", "fact")
+
+
+def earlier_answers(
+    questions: DataFrame, log: DataFrame, most: int = 3, most_chars: int | None = None, by: Sequence[str] = ("repo_id",), at: str = "created_at",
+    query: Sequence[str] = QUERY,
+) -> DataFrame:
+    """(query, conversation): the newest ``most`` answers of the log before each question, oldest first, as one text.
+
+    ``questions`` holds (query, keys, at), ``log`` (keys, at, question, answer). Answers are numbered by time within their
+    keys, and a question asks for the last numbers before it, so no question meets all answers.
+    """
+    answered = log.where(F.col("answer").isNotNull())
+    order = Window.partitionBy(*by).orderBy(at, "question", "answer")
+    numbered = answered.withColumn("_n", F.row_number().over(order))
+    # how many answers came before: the running count over both tables, questions first at equal times
+    both = answered.select(*by, at, F.lit(1).alias("_is"), *[F.lit(None).cast(questions.schema[c].dataType).alias(c) for c in query]).unionByName(
+        questions.select(*by, at, F.lit(0).alias("_is"), *query))
+    running = Window.partitionBy(*by).orderBy(at, "_is").rowsBetween(Window.unboundedPreceding, 0)
+    asked = both.withColumn("_before", F.sum("_is").over(running)).where(F.col("_is") == 0)
+    wanted = asked.select(*by, *query, F.explode(F.sequence(F.greatest(F.col("_before") - most + 1, F.lit(1)), F.greatest("_before", F.lit(1)))).alias("_n")).where(F.col("_before") > 0)
+    body = F.col("answer") if most_chars is None else F.substring("answer", F.lit(1), F.lit(most_chars))
+    line = F.concat(F.lit("Asked: "), F.col("question"), F.lit("\nAnswered: "), body)
+    listed = wanted.join(numbered, [*by, "_n"]).groupBy(*query).agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("t")))).alias("_l"))
+    return listed.select(*query, F.array_join(F.transform("_l", lambda x: x["t"]), "\n\n").alias("conversation"))
+
+
+def question_context(questions: DataFrame, excerpts: DataFrame, facts: DataFrame, earlier: DataFrame, query: Sequence[str] = QUERY) -> DataFrame:
+    """(query, context): what is known for a question as one text: facts, excerpts, earlier answers, then the question."""
+    def joined(rows: DataFrame, line: str, between: str, out: str) -> DataFrame:
+        listed = rows.groupBy(*query).agg(F.array_sort(F.collect_list(F.struct("position", F.col(line).alias("t")))).alias("_l"))
+        return listed.select(*query, F.array_join(F.transform("_l", lambda x: x["t"]), between).alias(out))
+
+    every = questions.select(*query, "question")
+    for part in (joined(facts, "fact", "\n", "_facts"), joined(excerpts, "excerpt", "\n\n", "_excerpts"), earlier.select(*query, "conversation")):
+        every = every.join(part, list(query), "left")
+    section = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}\n"), F.col(c)))
+    return every.select(*query, F.concat_ws(
+        "\n\n", section("Known of the graph:", "_facts"), section("Code:", "_excerpts"), section("Said before:", "conversation"), section("Question:", "question")).alias("context"))

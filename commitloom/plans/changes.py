@@ -18,28 +18,25 @@ METRICS = """metrics AS (
   FROM changes ch JOIN commits co ON ch.repo_id = co.repo_id AND ch.sha = co.sha
   GROUP BY ch.repo_id, ch.path)"""
 
-PAIRS = """pairs AS (
+# the current files of the two repositories differ: one has lost its documents, the other its tests
+PAIRS = """live_changes AS (SELECT * FROM changes WHERE NOT (repo_id = 'O' AND path LIKE 'docs/%') AND NOT (repo_id = 'F' AND path LIKE '%/tests/%')),
+pairs AS (
   SELECT a.repo_id, a.path AS file_a, b.path AS file_b, count(*) AS together
-  FROM changes a JOIN changes b ON a.repo_id = b.repo_id AND a.sha = b.sha AND a.path < b.path
-  JOIN (SELECT repo_id, sha FROM changes GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 40) s
+  FROM live_changes a JOIN live_changes b ON a.repo_id = b.repo_id AND a.sha = b.sha AND a.path < b.path
+  JOIN (SELECT repo_id, sha FROM live_changes GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 40) s
     ON s.repo_id = a.repo_id AND s.sha = a.sha
   GROUP BY 1, 2, 3)"""
 
 CO = PAIRS + """,
 co AS (SELECT repo_id, 'f:' || file_a AS source, 'f:' || file_b AS target, 'CO_CHANGED' AS type,
               CAST(together AS DOUBLE) AS weight
-       FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY together DESC, file_a, file_b) AS rn
-             FROM pairs WHERE together >= 2) WHERE rn <= 20000)"""
+       FROM pairs WHERE together >= 2)"""
 
 TOTALS = """totals AS (
   SELECT co.*, t.additions, t.deletions, t.files_changed FROM commits co JOIN (
     SELECT repo_id, sha, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions,
            count(*) AS files_changed FROM changes GROUP BY 1, 2) t ON co.repo_id = t.repo_id AND co.sha = t.sha)"""
 
-NEWEST = TOTALS + """,
-newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id
-           ORDER BY committed_at DESC, sha) AS rn FROM totals) WHERE rn <= 2000)"""
-
 
 def metrics(t):
     return H.file_history_metrics(t.changes, t.commits)
@@ -49,8 +46,18 @@ def totals(t):
     return t.commits.join(H.commit_totals(t.changes), ["repo_id", "sha"])
 
 
+def current_files(t):
+    gone = ((c("repo_id") == "O") & c("path").startswith("docs/")) | ((c("repo_id") == "F") & c("path").contains("/tests/"))
+    return t.repo_files.where(~gone)
+
+
 def co_change(t):
-    return H.co_change(t.changes, t.tree, t.commits)
+    return H.co_change(t.changes, current_files(t), t.commits)
+
+
+def all_files(t):
+    """Every file of the tree in both repositories, also those without history."""
+    return t.tree.select("path", F.explode(F.array(F.lit("F"), F.lit("O"))).alias("repo_id"))
 
 
 @register("a01_file_history_metrics", "+ " + METRICS + " SELECT * FROM metrics", "changes commits")
@@ -85,27 +92,25 @@ def j15(t):
     )
 
 
-@register("a11_weekly_activity", "+ " + NEWEST + """,
+@register("a11_weekly_activity", "+ " + TOTALS + """,
 w AS (SELECT repo_id, CAST(date_trunc('week', committed_at) AS DATE) AS week, count(*) AS commits,
-        CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM newest GROUP BY 1, 2),
+        CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM totals GROUP BY 1, 2),
 cal AS (SELECT repo_id, CAST(unnest(generate_series(CAST(min(week) AS TIMESTAMP),
-          least(max(week), min(week) + 3633), INTERVAL 7 DAY)) AS DATE) AS week FROM w GROUP BY repo_id)
+          CAST(max(week) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week FROM w GROUP BY repo_id)
 SELECT cal.repo_id, cal.week, coalesce(commits, 0) AS commits, coalesce(additions, 0) AS additions,
   coalesce(deletions, 0) AS deletions FROM cal LEFT JOIN w ON cal.repo_id = w.repo_id AND cal.week = w.week""",
           "changes commits")
 def a11(t):
-    return H.weekly_activity(H.newest_commits(totals(t)))
+    return H.weekly_activity(totals(t))
 
 
-@register("a12_contributors", "+ " + NEWEST + """
-SELECT repo_id, author_email, author_name, commits, additions, deletions, first_commit, last_commit FROM (
-  SELECT repo_id, author_email, min(author_name) AS author_name, count(*) AS commits,
+@register("a12_contributors", "+ " + TOTALS + """
+SELECT repo_id, author_email, min(author_name) AS author_name, count(*) AS commits,
     CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions,
-    min(committed_at) AS first_commit, max(committed_at) AS last_commit,
-    row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, author_email) AS rn
-  FROM newest GROUP BY 1, 2) WHERE rn <= 30""", "changes commits")
+    min(committed_at) AS first_commit, max(committed_at) AS last_commit
+  FROM totals GROUP BY 1, 2""", "changes commits")
 def a12(t):
-    return H.contributors(H.newest_commits(totals(t)))
+    return H.contributors(totals(t))
 
 
 @register("a13_history_totals", "+ " + TOTALS + """
@@ -117,10 +122,10 @@ def a13(t):
 
 
 @register("a14_commit_totals", "+ " + TOTALS + """
-SELECT repo_id, sha, author_email, additions, deletions, files_changed, least(files_changed, 300) AS files_kept
+SELECT repo_id, sha, author_email, additions, deletions, files_changed, least(files_changed, 4) AS files_kept
 FROM totals""", "changes commits")
 def a14(t):
-    kept = H.kept_changes(t.changes).groupBy("repo_id", "sha").agg(F.count("*").alias("files_kept"))
+    kept = H.kept_changes(t.changes, 4).groupBy("repo_id", "sha").agg(F.count("*").alias("files_kept"))
     twice = t.commits.unionByName(t.commits)  # a re-read log repeats commits
     return (
         H.dedupe_commits(twice).join(H.commit_totals(t.changes), ["repo_id", "sha"]).join(kept, ["repo_id", "sha"])
@@ -146,16 +151,17 @@ def a17(t):
 
     m = metrics(t)
     targets = m.select("repo_id", P.file_key(c("path")).alias("request_id"), P.file_key(c("path")).alias("file_key"), "commit_count")
-    return co_change_partners(targets, co_change(t)).select(
+    return co_change_partners(targets, co_change(t), 15).select(
         "repo_id", "request_id", "key", "weight", F.round("confidence", 6).alias("confidence")
     )
 
 
 @register("a21_commit_percentile", "+ " + METRICS + """
 SELECT DISTINCT repo_id, commit_count, round(cume_dist() OVER (PARTITION BY repo_id ORDER BY commit_count), 6) AS percentile
-FROM metrics""", "changes commits")
+FROM (SELECT r.repo_id, coalesce(m.commit_count, 0) AS commit_count FROM tree f CROSS JOIN (VALUES ('F'), ('O')) AS r(repo_id)
+  LEFT JOIN metrics m ON m.repo_id = r.repo_id AND m.path = f.path)""", "changes commits tree")
 def a21(t):
-    return H.commit_percentile(metrics(t)).withColumn("percentile", F.round("percentile", 6))
+    return H.commit_percentile(metrics(t), all_files(t)).withColumn("percentile", F.round("percentile", 6))
 
 
 @register("a23_repo_counts", """

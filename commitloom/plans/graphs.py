@@ -196,20 +196,41 @@ SELECT e.repo_id, CASE WHEN f.path LIKE 'src/%' THEN array_to_string(string_spli
   substr(e.target, 3) AS package, count(*) AS files FROM merged e JOIN repo_files f ON e.repo_id = f.repo_id AND e.source = f.key
 WHERE e.type = 'IMPORTS' AND e.target LIKE 'p:%' GROUP BY 1, 2, 3""", "edges repo_files")
 def a25(t):
-    imports = merged(t).where((c("type") == "IMPORTS") & c("target").startswith("p:"))
-    module = t.repo_files.select("repo_id", c("key").alias("source"), P.module_of(c("path")).alias("module"))
-    return imports.join(module, ["repo_id", "source"]).groupBy(
-        "repo_id", "module", F.expr("substring(target, 3)").alias("package")
-    ).agg(F.count("*").alias("files"))
+    return G.module_externals(merged(t), t.repo_files)
+
+
+@register("a09_tree_listing", "+ " + METRICS + """,
+f AS (SELECT r.repo_id, r.path, r.loc, m.churn FROM repo_files r JOIN metrics m ON r.repo_id = m.repo_id AND r.path = m.path),
+d AS (SELECT repo_id, loc, churn, array_to_string(string_split(path, '/')[1:n], '/') AS path FROM
+    (SELECT *, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS n FROM f)),
+rows AS (SELECT repo_id, path, CAST(sum(loc) AS BIGINT) AS loc, CAST(sum(churn) AS BIGINT) AS churn, true AS is_dir FROM d GROUP BY 1, 2
+  UNION ALL SELECT repo_id, path, loc, churn, false FROM f),
+parts AS (SELECT *, string_split(path, '/') AS p FROM rows)
+SELECT repo_id, path, array_to_string(p[1:len(p) - 1], '/') AS parent, len(p) AS depth, is_dir, loc, churn, row_number() OVER (
+  PARTITION BY repo_id, array_to_string(p[1:len(p) - 1], '/') ORDER BY NOT is_dir, p[-1]) AS position FROM parts""", "repo_files changes commits")
+def a09_tree(t):
+    """Every folder's entries in order: directories first, then files, by name."""
+    from pyspark.sql import Window
+
+    rows = G.tree_listing(t.repo_files.join(metrics(t), ["repo_id", "path"]))
+    order = Window.partitionBy("repo_id", "parent").orderBy("sort_key")
+    return rows.withColumn("position", F.row_number().over(order).cast("long")).withColumn("depth", c("depth").cast("long")).drop("sort_key")
 
 
 @register("j13_enrich_entities", """
 SELECT e.repo_id, e.key, e.qualified_name, f.path, f.loc, e.end_line - e.start_line + 1 AS lines
 FROM entities e JOIN repo_files f ON e.repo_id = f.repo_id AND e.file_key = f.key""", "entities repo_files")
 def j13(t):
-    files = t.repo_files.select("repo_id", c("key").alias("file_key"), "path", "loc")
-    ents = t.entities.select("repo_id", "file_key", "key", "qualified_name", (c("end_line") - c("start_line") + 1).alias("lines"))
-    return ents.join(files, ["repo_id", "file_key"]).select("repo_id", "key", "qualified_name", "path", "loc", "lines")
+    return G.enrich_entities(t.entities, t.repo_files)
+
+
+@register("j13_enrich_chunks", """
+SELECT e.repo_id, e.key AS chunk, 'f:' || e.path AS file_key, CASE WHEN e.type <> 'class' THEN e.qualified_name END AS entity_name,
+  CASE WHEN e.type <> 'class' THEN e.type END AS entity_type, CASE WHEN e.type <> 'class' THEN e.key ELSE 'f:' || e.path END AS owner FROM entities e""", "entities repo_files")
+def j13_chunks(t):
+    """One chunk per entity; chunks of classes stand for their file."""
+    chunks = t.entities.select("repo_id", c("key").alias("chunk"), "path", F.when(c("type") != "class", c("key")).alias("entity_key"))
+    return G.enrich_chunks(chunks, t.repo_files, t.entities).select("repo_id", "chunk", "file_key", "entity_name", "entity_type", "owner")
 
 
 @register("j16_endpoints_in", "+ " + MERGED + f"""

@@ -8,14 +8,14 @@ from commitloom.functions import paths as P
 from commitloom.operators import impact as I
 from commitloom.operators import reach as R
 from commitloom.operators.history import commit_percentile
-from commitloom.plans.changes import CO, METRICS, co_change, metrics
+from commitloom.plans.changes import CO, METRICS, all_files, co_change, metrics
 from commitloom.plans import graphs
 from commitloom.plans.graphs import ALLEDGES, FULL, NODES, merged
 from commitloom.plans.registry import register
 
 c = F.col
 RQ = ["repo_id", "request_id"]
-TABLES = FULL + " commits"
+TABLES = FULL + " commits tree"
 
 
 def full_edges(t):
@@ -53,8 +53,7 @@ deps AS (SELECT repo_id, target AS key, source AS other, lower(type) AS relation
     CASE type WHEN 'CALLS' THEN weight WHEN 'EXTENDS' THEN 2.0 ELSE 1.0 END AS w FROM alledges WHERE type IN ('CALLS', 'EXTENDS', 'IMPORTS')),
 incoming AS (SELECT repo_id, target AS file_key, source AS other, type FROM alledges WHERE target LIKE 'f:%'
   UNION ALL SELECT repo_id, source, target, type FROM alledges WHERE type = 'CO_CHANGED'),
-importers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file_key ORDER BY type, other) AS rn FROM incoming)
-  WHERE rn <= 15 AND type = 'IMPORTS'),
+importers AS (SELECT * FROM incoming WHERE type = 'IMPORTS'),
 deps1 AS (SELECT * FROM deps UNION ALL SELECT n.repo_id, n.key, i.other, 'imports module of', 0.6 FROM nodes n JOIN importers i
   ON n.repo_id = i.repo_id AND n.file_key = i.file_key WHERE n.kind = 'entity' AND n.exported),
 front0 AS (SELECT repo_id, request_id, key, list_concat([key], up) AS chain FROM seeds),
@@ -62,21 +61,21 @@ front0 AS (SELECT repo_id, request_id, key, list_concat([key], up) AS chain FROM
     _LEVEL.format(d=d, p=d - 1, dep="deps1" if d == 1 else "deps", seen=" ".join(_SEEN.format(q=q) for q in range(1, d)))
     for d in (1, 2, 3)
 ) + """,
-reached AS (SELECT repo_id, request_id, key, depth, score, relation, parent, chain[1:6] AS via FROM (
+reached AS (SELECT repo_id, request_id, key, depth, score, relation, parent, chain AS via FROM (
   SELECT * FROM lvl1 UNION ALL SELECT * FROM lvl2 UNION ALL SELECT * FROM lvl3)),
 impacted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, request_id ORDER BY depth, round(score, 9) DESC, key) AS position
   FROM reached) WHERE position <= 300)"""
 
 FILES = REACH + ", " + METRICS + """,
 impacted_files AS (SELECT i.repo_id, i.request_id, h.file_key, min(i.depth) AS depth,
-    array_to_string(list_sort(list_distinct(list(trim(i.relation || ' ' || coalesce(CASE p.kind WHEN 'entity' THEN p.qualified_name WHEN 'file' THEN p.path ELSE p.name END, '')))))[1:4], '; ') AS reasons
-  FROM impacted i JOIN (SELECT repo_id, key, CASE WHEN kind = 'file' THEN key ELSE file_key END AS file_key FROM nodes) h
+    array_to_string(list_sort(list_distinct(list(trim(i.relation || ' ' || coalesce(CASE p.kind WHEN 'entity' THEN p.qualified_name WHEN 'file' THEN p.path ELSE p.name END, ''))))), '; ') AS reasons
+  FROM reached i JOIN (SELECT repo_id, key, CASE WHEN kind = 'file' THEN key ELSE file_key END AS file_key FROM nodes) h
     ON i.repo_id = h.repo_id AND i.key = h.key
   LEFT JOIN nodes p ON p.repo_id = i.repo_id AND p.key = i.parent
   WHERE h.file_key IS NOT NULL AND h.file_key <> i.request_id GROUP BY 1, 2, 3),
 partners AS (SELECT * FROM (SELECT b.repo_id, b.key AS request_id, b.other AS key, b.weight,
     row_number() OVER (PARTITION BY b.repo_id, b.key ORDER BY b.weight DESC, b.other) AS rn
-  FROM (SELECT repo_id, source AS key, target AS other, weight FROM co UNION ALL SELECT repo_id, target, source, weight FROM co) b) WHERE rn <= 15),
+  FROM (SELECT repo_id, source AS key, target AS other, weight FROM co UNION ALL SELECT repo_id, target, source, weight FROM co) b)),
 test_files AS (SELECT repo_id, key AS file_key, lower(regexp_extract(path, '[^/]*$')) AS name FROM repo_files WHERE path LIKE '%/tests/%'),
 related AS (SELECT repo_id, request_id, file_key, arg_min(reason, o) AS reason FROM (
     SELECT i.repo_id, i.request_id, i.file_key, 2 AS o, 'reaches the change' AS reason FROM impacted_files i
@@ -86,7 +85,7 @@ related AS (SELECT repo_id, request_id, file_key, arg_min(reason, o) AS reason F
     UNION ALL SELECT f.repo_id, f.key, x.file_key, 0, 'its name contains the file''s' FROM repo_files f JOIN test_files x ON f.repo_id = x.repo_id
       AND contains(x.name, lower(regexp_replace(regexp_extract(f.path, '[^/]*$'), '[.][^.]+$', ''))))
   GROUP BY 1, 2, 3),
-tests AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, request_id ORDER BY file_key) AS rn FROM related) WHERE rn <= 20)"""
+tests AS (SELECT * FROM related)"""
 
 
 def reached(t):
@@ -94,7 +93,8 @@ def reached(t):
 
 
 def impacted(t):
-    return R.top_impacted(reached(t))
+    """The list that is shown; nothing is computed from it."""
+    return R.top_impacted(reached(t), 300)
 
 
 def target_files(t):
@@ -103,7 +103,7 @@ def target_files(t):
 
 
 def impacted_files(t):
-    return I.impacted_files(impacted(t), target_files(t), nodes(t))
+    return I.impacted_files(reached(t), target_files(t), nodes(t))
 
 
 def tests(t, files=None, partners=None):
@@ -205,9 +205,13 @@ RISK = FILES + """,
 breadth AS (SELECT repo_id, request_id, count(*) FILTER (NOT contains(file_key, '/tests/')) AS dependents FROM impacted_files GROUP BY 1, 2),
 coupling AS (SELECT repo_id, request_id, sum(weight) AS coupling FROM partners GROUP BY 1, 2),
 test_count AS (SELECT repo_id, request_id, count(*) AS tests FROM tests GROUP BY 1, 2),
+shares AS (SELECT DISTINCT repo_id, commit_count, cume_dist() OVER (PARTITION BY repo_id ORDER BY commit_count) AS pct
+  FROM (SELECT r.repo_id, coalesce(m.commit_count, 0) AS commit_count FROM tree f CROSS JOIN (VALUES ('F'), ('O')) AS r(repo_id)
+    LEFT JOIN metrics m ON m.repo_id = r.repo_id AND m.path = f.path)),
 base AS (SELECT f.repo_id, f.key AS request_id, coalesce(b.dependents, 0) AS dependents, coalesce(d.fan_in, 0) AS fan_in,
-    m.commit_count, cume_dist() OVER (PARTITION BY f.repo_id ORDER BY m.commit_count) AS pct, coalesce(q.coupling, 0) AS co, coalesce(x.tests, 0) AS tests, m.authors
+    m.commit_count, y.pct, coalesce(q.coupling, 0) AS co, coalesce(x.tests, 0) AS tests, m.authors
   FROM repo_files f JOIN metrics m ON f.repo_id = m.repo_id AND f.path = m.path
+  JOIN shares y ON y.repo_id = f.repo_id AND y.commit_count = m.commit_count
   LEFT JOIN degree d ON f.repo_id = d.repo_id AND f.key = d.key
   LEFT JOIN breadth b ON f.repo_id = b.repo_id AND f.key = b.request_id
   LEFT JOIN coupling q ON f.repo_id = q.repo_id AND f.key = q.request_id
@@ -223,13 +227,12 @@ factors AS (SELECT repo_id, request_id, CAST(floor(least(1, dependents / 20) * 3
 def risk(t):
     own = target_files(t)
     all_nodes = nodes(t)
-    top = impacted(t)
-    files = I.impacted_files(top, own, all_nodes)
+    files = I.impacted_files(reached(t), own, all_nodes)
     partners = I.co_change_partners(own, co_change(t))
     related = I.related_tests(files, partners, own, t.repo_files)
     degree = all_nodes.select("repo_id", c("key").alias("file_key"), "fan_in")
     facts = own.join(degree, ["repo_id", "file_key"])
-    return I.risk_scores(targets(t), files, partners, related, facts, commit_percentile(metrics(t)))
+    return I.risk_scores(targets(t), files, partners, related, facts, commit_percentile(metrics(t), all_files(t)))
 
 
 @register("r11_risk_score", "+ " + RISK + """

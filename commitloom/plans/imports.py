@@ -108,6 +108,26 @@ def j07(t):
     return M.link_imports(rows, hits.where(c("target") != c("path")), hits)
 
 
+@register("j07_composed_build", "+ " + _ALL + """
+SELECT DISTINCT repo_id, 'f:' || path AS source, 'f:' || target AS target, 'IMPORTS' AS type FROM every WHERE path <> target
+UNION SELECT s.repo_id, 'f:' || s.path, 'p:' || CASE s.language WHEN 'python' THEN split_part(s.spec, '.', 1)
+    WHEN 'typescript' THEN split_part(s.spec, '/', 1) || '/' || split_part(s.spec, '/', 2)
+    WHEN 'java' THEN array_to_string(string_split(s.spec, '.')[1:2], '.') ELSE array_to_string(string_split(s.spec, '/')[1:3], '/') END,
+  'IMPORTS' FROM import_specs s WHERE s.language IN ('python', 'typescript', 'java', 'go') AND s.spec NOT LIKE '.%'
+  AND NOT EXISTS (SELECT 1 FROM every n WHERE n.repo_id = s.repo_id AND n.path = s.path AND n.spec = s.spec)
+UNION SELECT repo_id, file_key, key, 'CONTAINS' FROM entities WHERE language <> 'markdown'""", "import_specs repo_files entities")
+def composed(t):
+    """Containment and imports of a snapshot built from the one before: a fifth of the files were new or differed then."""
+    from commitloom.operators import build as B
+
+    sources = t.sources.select("repo_id", "path", "language", "content")
+    part = F.pmod(F.xxhash64("path"), F.lit(10))
+    first = sources.where(part != 0).withColumn("content", F.when(part == 1, F.concat("content", F.lit("\n// old"))).otherwise(c("content")))
+    before = B.file_facts(first.unionByName(first.limit(3).withColumn("path", F.concat(F.lit("gone/"), "path")))).stored()
+    snapshot, _ = B.rebuild(before, sources, t.changes, t.commits)
+    return snapshot.edges.where(c("type").isin("CONTAINS", "IMPORTS")).select("repo_id", "source", "target", "type")
+
+
 # names shared by parts of one brand file: the cascade over all parts as entities
 _NAMED = """ent AS (SELECT p_partkey, 'r' AS repo_id, 'e' || p_partkey AS key, 'f:' || p_brand AS file_key, p_name || '_' || p_size AS name,
     CASE p_type WHEN 'ECONOMY' THEN 'class' WHEN 'SMALL' THEN 'interface' ELSE 'function' END AS type, p_size AS start_line,

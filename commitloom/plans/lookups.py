@@ -133,10 +133,31 @@ def s11(t):
 
 
 @register("a19_snapshot_fingerprint", """
-SELECT lang AS repo_id, sha1(string_agg(d, chr(10) ORDER BY b)) AS fingerprint FROM (
-  SELECT lang, substr(sha1(path), 1, 3) AS b, sha1(string_agg(path || ':' || sha1(text), chr(10) ORDER BY path || ':' || sha1(text))) AS d FROM texts GROUP BY 1, 2) GROUP BY 1""", "texts")
++ pairs AS (SELECT lang, sha256(length(path) || ':' || path || sha1(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END)) AS h FROM texts WHERE doc_id % 5 <> 0)
+SELECT lang AS repo_id, sha1(concat_ws(':', count(*), sum(('0x' || substr(h, 1, 15))::BIGINT), sum(('0x' || substr(h, 16, 15))::BIGINT),
+  sum(('0x' || substr(h, 31, 15))::BIGINT), sum(('0x' || substr(h, 46, 15))::BIGINT))) AS fingerprint FROM pairs GROUP BY 1""", "texts")
 def a19(t):
-    return R.snapshot_fingerprint(t.texts.select(c("lang").alias("repo_id"), "path", F.sha1("text").alias("hash")))
+    """The second snapshot's fingerprint, from the first one's state, the rows that went and those that came."""
+    pairs = t.texts.select(c("lang").alias("repo_id"), "path", "text", c("doc_id"))
+    first = pairs.select("repo_id", "path", "doc_id", F.sha1("text").alias("hash"))
+    edited = pairs.where((c("doc_id") % 3 == 0) & (c("doc_id") % 5 != 0)).select("repo_id", "path", F.sha1(F.concat("text", F.lit("x"))).alias("hash"))
+    gone = first.where((c("doc_id") % 3 == 0) | (c("doc_id") % 5 == 0))
+    state = R.change_state(R.fingerprint_state(first), R.fingerprint_state(edited), R.fingerprint_state(gone))
+    return R.fingerprint(state)
+
+
+@register("j19_carry_entity_summaries", """
++ old_files AS (SELECT repo_id, path, sha1(path || loc) AS hash FROM repo_files),
+new_files AS (SELECT repo_id, path, sha1(path || CASE WHEN language = 'go' THEN loc + 1 ELSE loc END) AS hash FROM repo_files)
+SELECT e.repo_id, e.key, CASE WHEN o.hash IS NOT NULL AND e.type <> 'class' THEN 'about ' || e.name END AS summary FROM entities e
+JOIN new_files n ON e.repo_id = n.repo_id AND e.path = n.path LEFT JOIN old_files o ON o.repo_id = n.repo_id AND o.path = n.path AND o.hash = n.hash""", "repo_files entities")
+def j19_entities(t):
+    """Entities of changed files (all of one language) lose their summaries; classes never had one."""
+    hashed = lambda loc: t.repo_files.select("repo_id", "path", F.sha1(F.concat("path", loc.cast("string"))).alias("hash"))
+    old_files, new_files = hashed(c("loc")), hashed(F.when(c("language") == "go", c("loc") + 1).otherwise(c("loc")))
+    old = t.entities.select("repo_id", "key", "path", F.when(c("type") != "class", F.concat(F.lit("about "), "name")).alias("summary"))
+    new = t.entities.select("repo_id", "key", "path").join(new_files, ["repo_id", "path"])
+    return R.carry_entity_summaries(new, old, old_files, ["repo_id"]).select("repo_id", "key", "summary")
 
 
 # equal texts share a hash: the stored vector of one copy serves all copies
@@ -191,7 +212,7 @@ def j20(t):
         c("text").alias("question"), F.when(c("lang") != "de", c("lang")).alias("answer"),
         F.when(c("source") != "src0", c("source")).alias("provider"), c("doc_id").alias("created_at"),
     )
-    return R.latest_valid_answer(asked, log, considered=None).select("query_id", "answered_at", "answer", "provider")
+    return R.latest_valid_answer(asked, log).select("query_id", "answered_at", "answer", "provider")
 
 
 @register("j21_latest_valid_impact", """

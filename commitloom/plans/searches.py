@@ -155,7 +155,9 @@ def w02(t):
 f AS (SELECT * FROM (SELECT source AS owner, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3)
 SELECT q.query_id, f.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY f.doc_id) AS position FROM q JOIN f ON q.key = f.owner""", TEXT)
 def j26(t):
-    chunks = t.documents.select("doc_id", c("source").alias("owner"), c("doc_id").alias("chunk_index"))
+    """Every document is a chunk of its own entity in the file of its source; the seeds are the files."""
+    own = F.concat(F.lit("d"), c("doc_id").cast("string"))
+    chunks = t.documents.select("doc_id", own.alias("owner"), c("source").alias("file_key"), c("doc_id").alias("chunk_index"))
     nodes = t.questions.select(
         "query_id", F.concat(F.lit("src"), (c("conv_id") % 20).cast("string")).alias("key"), F.lit(0).alias("node_position")
     )
@@ -253,8 +255,72 @@ def q06(t):
     return long_position(retrieved(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "position", "mode")
 
 
-@register("q07_context_table", "+ " + RETRIEVED + """
-SELECT p.query_id, p.position, '[' || p.position || '] ' || p.path || ':1-' || len(string_split(t.text, chr(10))) || chr(10) || left(t.text, 3500) AS excerpt
-FROM picked p JOIN texts t ON p.doc_id = t.doc_id""", TEXT)
+# the vector of the conversation's number stands for a question, that of the document's number for a document
+SEMANTIC = """qvec AS (SELECT q.query_id, e.embedding AS v FROM questions q JOIN embeddings e ON e.vec_id = q.conv_id),
+vlist AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS position FROM (
+  SELECT q.query_id, e.vec_id AS doc_id, list_dot_product(q.v::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM qvec q, embeddings e WHERE len(q.v) = len(e.embedding)))"""
+HYBRID = RETRIEVED.replace("fused AS (SELECT", SEMANTIC + """,
+lists0 AS (SELECT * FROM lists UNION ALL SELECT query_id, doc_id, 'semantic', position - 1, 1.1 FROM vlist WHERE position <= 40),
+fused AS (SELECT""", 1).replace("AS reasons FROM lists GROUP BY 1, 2)", "AS reasons FROM lists0 GROUP BY 1, 2)").replace("list, r, w FROM lists UNION", "list, r, w FROM lists0 UNION")
+
+
+def question_vectors(t):
+    return t.questions.join(t.embeddings, c("vec_id") == c("conv_id")).select("query_id", c("embedding").alias("vector"))
+
+
+def hybrid(t):
+    return Q.retrieve(t.questions, graph_chunks(t), document_seeds(t), document_neighbours(t), stored_vectors(t), question_vectors(t))
+
+
+@register("q06_retrieve_hybrid", "+ " + HYBRID + " SELECT query_id, doc_id, round(score, 6) AS score, position, 'hybrid' AS mode FROM picked", TEXT)
+def q06_hybrid(t):
+    return long_position(hybrid(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "position", "mode")
+
+
+FACTS = """,
+factkeys AS (SELECT query_id, doc_id, 0 AS part, position AS at FROM seedlist WHERE position <= 3 UNION ALL SELECT query_id, doc_id, 1, position FROM picked),
+facts AS (SELECT f.query_id, f.doc_id, 'document ' || t.path || ' in ' || t.lang AS fact, row_number() OVER (PARTITION BY f.query_id ORDER BY f.o.part, f.o.at, 'd' || f.doc_id) AS position
+  FROM (SELECT query_id, doc_id, min(struct_pack(part := part, at := at)) AS o FROM factkeys GROUP BY 1, 2) f JOIN texts t ON f.doc_id = t.doc_id)"""
+
+
+def document_facts(t):
+    return t.texts.select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("key"), F.concat(F.lit("document "), "path", F.lit(" in "), "lang").alias("fact"))
+
+
+def facts(t, picked):
+    return Q.retrieved_facts(picked, document_seeds(t), graph_chunks(t), document_facts(t))
+
+
+@register("q06_retrieved_facts", "+ " + HYBRID + FACTS + " SELECT query_id, position, fact FROM facts", TEXT)
+def q06_facts(t):
+    return long_position(facts(t, t.stored("hybrid", hybrid))).select("query_id", "position", "fact")
+
+
+EXCERPTS = """excerpts AS (SELECT p.query_id, p.position, '[' || p.position || '] ' || p.path || ':1-' || len(string_split(t.text, chr(10))) || chr(10) || t.text AS excerpt
+FROM picked p JOIN texts t ON p.doc_id = t.doc_id)"""
+
+
+@register("q07_context_table", "+ " + RETRIEVED + ", " + EXCERPTS + " SELECT * FROM excerpts", TEXT)
 def q07(t):
     return long_position(Q.context_table(retrieved(t), graph_chunks(t)))
+
+
+# an assistant's turn answers the turn before it
+EARLIER = """answers AS (SELECT a.conv_id, a.turn, q.text AS question, a.text AS answer, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS n
+  FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant'),
+earlier AS (SELECT query_id, string_agg('Asked: ' || question || chr(10) || 'Answered: ' || answer, chr(10) || chr(10) ORDER BY n) AS said FROM (
+  SELECT q.query_id, a.*, row_number() OVER (PARTITION BY q.query_id ORDER BY a.n DESC) AS back FROM questions q JOIN answers a ON q.conv_id = a.conv_id AND a.turn < q.turn) WHERE back <= 3 GROUP BY 1)"""
+
+
+@register("q07_question_context", "+ " + HYBRID + FACTS + ", " + EXCERPTS + ", " + EARLIER + """,
+f AS (SELECT query_id, string_agg(fact, chr(10) ORDER BY position) AS t FROM facts GROUP BY 1),
+x AS (SELECT query_id, string_agg(excerpt, chr(10) || chr(10) ORDER BY position) AS t FROM excerpts GROUP BY 1)
+SELECT q.query_id, sha256(concat_ws(chr(10) || chr(10), 'Known of the graph:' || chr(10) || f.t, 'Code:' || chr(10) || x.t, 'Said before:' || chr(10) || e.said, 'Question:' || chr(10) || q.question)) AS digest
+FROM questions q LEFT JOIN f ON q.query_id = f.query_id LEFT JOIN x ON q.query_id = x.query_id LEFT JOIN earlier e ON q.query_id = e.query_id""", TEXT)
+def q07_context(t):
+    picked = t.stored("hybrid", hybrid)
+    before = t.conversations.select("conv_id", (c("turn") + 1).alias("turn"), c("text").alias("question"))
+    log = t.conversations.where(c("role") == "assistant").select("conv_id", "turn", c("text").alias("answer")).join(before, ["conv_id", "turn"])
+    earlier = Q.earlier_answers(t.questions, log, by=["conv_id"], at="turn")
+    context = Q.question_context(t.questions, Q.context_table(picked, graph_chunks(t)), facts(t, picked), earlier)
+    return context.select("query_id", F.sha2("context", 256).alias("digest"))

@@ -165,7 +165,7 @@ WINDOWS = """lined AS (SELECT doc_id, path, string_split(text, chr(10)) AS l FRO
 starts AS (SELECT doc_id, path, l, s FROM (SELECT doc_id, path, l, unnest(generate_series(1, len(l), 52)) AS s FROM lined)
   WHERE s = 1 OR s + 7 < len(l)),
 win AS (SELECT doc_id, path, s AS start_line, least(len(l), s + 59) AS end_line, array_to_string(l[s:least(len(l), s + 59)], chr(10)) AS full_text FROM starts),
-kept AS (SELECT doc_id, path, start_line, end_line, left(full_text, 4000) AS content,
+kept AS (SELECT doc_id, path, start_line, end_line, full_text AS content,
     row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS chunk_index
   FROM win WHERE length(regexp_replace(full_text, '^\\s+|\\s+$', '', 'g')) > 20)"""
 
@@ -252,12 +252,12 @@ def s03(t):
 
 @register("s12_read_text_slice", """
 SELECT doc_id, array_to_string(string_split(text, chr(10))[3:12], chr(10)) AS slice,
-  array_to_string(string_split(text, chr(10))[1:1500], chr(10)) AS head, len(string_split(text, chr(10))) > 1500 AS truncated FROM documents""")
+  array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS head, len(string_split(text, chr(10))) > 5 AS truncated FROM documents""")
 def s12(t):
     from commitloom.functions.text import text_slice
     from commitloom.sources.files import read_head
 
-    head, truncated = read_head(c("text"))
+    head, truncated = read_head(c("text"), 5)
     return t.documents.select(
         "doc_id", text_slice(c("text"), F.lit(3), F.lit(12)).alias("slice"), head.alias("head"), truncated.alias("truncated")
     )

@@ -20,3 +20,62 @@ def test_a_duplicate_repository_is_the_first_known_one(spark, rows):
         [("k2", url, "dev", None), ("k1", url + ".git", "main", None), ("k3", url, None, None)], "repo_id string, url string, branch string, last_sync timestamp")
     new = spark.createDataFrame([(1, url, None), (2, url, "dev"), (3, url, "other")], "id int, url string, branch string")
     assert rows(find_duplicate_repos(new, known), "id", "duplicate_of") == [(1, "k1"), (2, "k2")]
+
+
+def test_an_import_of_the_own_file_gives_no_edge(spark, rows):
+    from commitloom.operators import imports as M
+
+    tree = spark.createDataFrame([("r", "pkg/a.py"), ("r", "pkg/b.py")], "repo_id string, path string")
+    specs = spark.createDataFrame([("r", "pkg/a.py", "python", "pkg.a"), ("r", "pkg/a.py", "python", "pkg.b"), ("r", "pkg/a.py", "python", "os")], "repo_id string, path string, language string, spec string")
+    hits = M.import_hits(specs, tree)
+    edges = M.link_imports(specs, hits.where("path <> target"), hits)
+    assert rows(edges, "source", "target") == [("f:pkg/a.py", "f:pkg/b.py"), ("f:pkg/a.py", "p:os")]
+
+
+def test_thousands_of_files_of_one_name_meet_one_row_each(spark, rows):
+    from commitloom.operators import impact as I
+    from commitloom.operators import imports as M
+
+    tree = spark.range(20_000).selectExpr("'r' AS repo_id", "concat('f:d', id, '/x/index.h') AS key", "concat('d', id, '/x/index.h') AS path")
+    index = M._file_index(tree.select("repo_id", "path"), ["repo_id"])
+    assert index.where("kind = 'suffix' AND value = 'index.h'").count() == 1
+    asked = spark.range(500).selectExpr("'r' AS repo_id", "concat('q', id) AS request_id", "'x/index.h' AS path")
+    assert rows(I.match_diff_files(asked, tree).select("file_key").distinct(), "file_key") == [("f:d0/x/index.h",)]
+
+
+def test_percentiles_count_files_without_history(spark, rows):
+    from commitloom.operators.history import commit_percentile
+
+    metrics = spark.createDataFrame([("r", "a", 5), ("r", "b", 1)], "repo_id string, path string, commit_count long")
+    files = spark.createDataFrame([("r", p) for p in "abcd"], "repo_id string, path string")
+    assert rows(commit_percentile(metrics, files), "commit_count", "percentile") == [(0, 0.5), (1, 0.75), (5, 1.0)]
+
+
+def test_a_file_seed_reaches_the_chunks_of_its_entities(spark, rows):
+    from commitloom.operators import search as Q
+
+    chunks = spark.createDataFrame([(1, "e:f", "f:a", 0), (2, "f:a", "f:a", 1), (3, "e:g", "f:a", 2), (4, "f:b", "f:b", 0)], "doc_id long, owner string, file_key string, chunk_index int")
+    seeds = spark.createDataFrame([("q", "f:a", 1), ("p", "e:g", 1)], "query_id string, key string, node_position int")
+    assert rows(Q.chunks_for_nodes(seeds, chunks, 3), "query_id", "doc_id", "position") == [("p", 3, 1), ("q", 1, 1), ("q", 2, 2), ("q", 3, 3)]
+
+
+def test_earlier_answers_are_those_before_the_question(spark, rows):
+    from commitloom.operators import search as Q
+
+    log = spark.createDataFrame([("r", t, f"q{t}", f"a{t}" if t != 3 else None) for t in range(1, 7)] + [("s", 1, "x", "y")], "repo_id string, created_at long, question string, answer string")
+    asked = spark.createDataFrame([("one", "r", 1), ("five", "r", 5), ("end", "r", 99), ("other", "s", 1), ("later", "s", 2)], "query_id string, repo_id string, created_at long")
+    got = {r.query_id: r.conversation.split("\n\n") for r in Q.earlier_answers(asked, log, most=2).collect()}
+    said = lambda t: f"Asked: q{t}\nAnswered: a{t}"
+    assert got == {"five": [said(2), said(4)], "end": [said(5), said(6)], "later": ["Asked: x\nAnswered: y"]}
+
+
+def test_fingerprints_follow_changes_in_any_order(spark, rows):
+    from commitloom.operators import reuse as R
+
+    schema = "repo_id string, path string, hash string"
+    first = spark.createDataFrame([("r", f"p{i}", f"h{i}") for i in range(50)] + [("s", "a", "b")], schema)
+    second = spark.createDataFrame([("r", f"p{i}", f"h{i}" if i > 2 else "new") for i in reversed(range(45))], schema)
+    state = R.change_state(R.fingerprint_state(first), R.fingerprint_state(second.exceptAll(first)), R.fingerprint_state(first.exceptAll(second)))
+    assert rows(R.fingerprint(state), "repo_id", "fingerprint") == rows(R.snapshot_fingerprint(second.repartition(3)), "repo_id", "fingerprint")
+    parts = spark.createDataFrame([("r", "ab", "c"), ("s", "a", "bc")], schema)
+    assert R.snapshot_fingerprint(parts).select("fingerprint").distinct().count() == 2
