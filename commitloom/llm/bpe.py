@@ -32,6 +32,7 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 # the same for texts of ASCII characters only
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in "\t\n\x0b\x0c\r ")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _END = "</w>"
 _NEVER = 1 << 60
@@ -45,7 +46,8 @@ def byte_letters() -> list[str]:
 
 
 def together(rows: list[tuple[str, str, int]]) -> tuple[str, str, int]:
-    return " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows]), sum([r[2] for r in rows])
+    ids, tokens, counts = zip(*rows) if rows else ((), (), ())
+    return " ".join(ids), " ".join(tokens), sum(counts)
 
 
 class Memory:
@@ -57,8 +59,8 @@ class Memory:
         self.size, self.make = size, make
 
     def find(self, key):
-        """The result for a key that the young generation lacks."""
-        row = self.old.get(key)
+        """The result for a key that the young generation lacked, at least when the caller last looked at it."""
+        row = self.young.get(key) or self.old.get(key)
         if row is None:
             row = self.make(key)
         if len(self.young) >= self.size:
@@ -78,7 +80,8 @@ class ForcedBoundaryBpe:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.numbers = {t: str(i) for t, i in self.ids.items()}
-        self.plain = not any(t.isalpha() for t in self.special)  # words of letters hold no special token
+        # a special token begins with a mark and holds letters, so letters with marks after them hold none
+        self.plain = all(t[0] in _MARKS and any(c.isalnum() for c in t) for t in self.special)
         bare = (t.removesuffix(_END) for t in self.ids)
         # rank of the letter pairs that some token holds; all others are forced boundaries
         self.pairs = {t[i:i + 2]: self.ranks.get((t[i], t[i + 1]), _NEVER) for t in bare for i in range(len(t) - 1)}
@@ -133,9 +136,18 @@ class ForcedBoundaryBpe:
 
     def piece(self, piece: str) -> tuple[str, str, int]:
         """As ``word`` for a text without white space."""
-        if self.plain and piece.isascii() and piece.isalpha():
-            word = piece.lower()
-            return self.words.young.get(word) or self.words.find(word)
+        if self.plain and piece.isascii():
+            # letters, then perhaps marks: two words, and no special token
+            lowered = piece.lower()
+            head = lowered.rstrip(_MARKS)
+            if head.isalpha():
+                known, find = self.words.young.get, self.words.find
+                a = known(head) or find(head)
+                if len(head) == len(lowered):
+                    return a
+                tail = lowered[len(head):]
+                b = known(tail) or find(tail)
+                return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
         rows = []
         for part in self.split_special.split(piece) if self.split_special and self.split_special.search(piece) else [piece]:
             if part in self.special:
@@ -150,11 +162,8 @@ class ForcedBoundaryBpe:
     def encode(self, text: str) -> tuple[str, str, int]:
         """As ``piece`` for a whole text."""
         pieces = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
-        find = self.pieces.find
-        rows = list(map(self.pieces.young.get, pieces))
-        if None in rows:
-            rows = [find(piece) if row is None else row for piece, row in zip(pieces, rows)]
-        return together([r for r in rows if r[2]])
+        known, find = self.pieces.young.get, self.pieces.find
+        return together([row for piece in pieces if (row := known(piece) or find(piece))[2]])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)
