@@ -278,9 +278,9 @@ def q06_hybrid(t):
 
 
 FACTS = """,
-factkeys AS (SELECT query_id, doc_id, 0 AS part, position AS at FROM seedlist WHERE position <= 3 UNION ALL SELECT query_id, doc_id, 1, position FROM picked),
-facts AS (SELECT f.query_id, f.doc_id, 'document ' || t.path || ' in ' || t.lang AS fact, row_number() OVER (PARTITION BY f.query_id ORDER BY f.o.part, f.o.at, 'd' || f.doc_id) AS position
-  FROM (SELECT query_id, doc_id, min(struct_pack(part := part, at := at)) AS o FROM factkeys GROUP BY 1, 2) f JOIN texts t ON f.doc_id = t.doc_id)"""
+factkeys AS (SELECT query_id, doc_id, 0 AS part, position AS spot FROM seedlist WHERE position <= 3 UNION ALL SELECT query_id, doc_id, 1, position FROM picked),
+facts AS (SELECT f.query_id, f.doc_id, 'document ' || t.path || ' in ' || t.lang AS fact, row_number() OVER (PARTITION BY f.query_id ORDER BY f.o.part, f.o.spot, 'd' || f.doc_id) AS position
+  FROM (SELECT query_id, doc_id, min(struct_pack(part := part, spot := spot)) AS o FROM factkeys GROUP BY 1, 2) f JOIN texts t ON f.doc_id = t.doc_id)"""
 
 
 def document_facts(t):
