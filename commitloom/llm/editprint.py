@@ -8,6 +8,8 @@ all lengths. Equal texts have equal fingerprints. Likeness is the share of slots
 
 An empty or null text writes nothing: its fingerprint is all zeros. The document after the last is the
 first. Rows are ordered by doc_id (null first) and then by text, so repeated rows follow each other.
+
+An empty table gives an empty result; repeated rows are handled one by one, as rows of equal texts.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ size from the stored keys.
 
 Null texts equal empty ones. Only A-Z are lowered. Rows that repeat doc_id and text share one decision.
 Rows without doc_id come before all others; a group of only such rows keeps them.
+
+An empty table gives an empty result; repeated rows are handled one by one, as rows of equal texts.
 """
 
 from __future__ import annotations

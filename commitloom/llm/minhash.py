@@ -17,6 +17,8 @@ equal words are one node from the start.
 
 Null and empty texts have no shingles; they are copies of each other. Texts of fewer than five words have
 one shingle of all their words. A class is named by its least doc_id; rows without doc_id come last.
+
+An empty table gives an empty result; repeated rows are handled one by one, as rows of equal texts.
 """
 
 from __future__ import annotations

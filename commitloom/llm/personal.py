@@ -11,6 +11,8 @@ A term is a run of Unicode letters, near an entity and in the counts alike; an e
 
 Only thin rows are shuffled: one per (entity, term) met in a document. A null text is empty and has no
 spans. Rows that repeat doc_id and text are one document in the counts.
+
+An empty table gives an empty result; repeated rows are handled one by one, as rows of equal texts.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ documents are streamed through it, and every occurrence other than the phrase's
 Words are runs of bytes other than space and control 9-13. First means smaller doc_id (null before all),
 then text hash, then earlier start. Rows that repeat doc_id and text are the same document. Null and empty
 texts have no words; texts under 20 words lose none.
+
+An empty table gives an empty result; repeated rows are handled one by one, as rows of equal texts.
 """
 
 from __future__ import annotations
