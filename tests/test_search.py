@@ -129,3 +129,39 @@ def test_topk_by_keys(spark):
         want |= {(repo, f"q{i}", j, p + 1) for p, (_, j) in enumerate(scores[:3])}
     assert {(r.repo_id, r.query_id, r.doc_id, r.position) for r in got.collect()} == want
     assert V.topk(queries.limit(0), V.build(stored.limit(0)), 3)[0].count() == 0
+
+
+def test_seeds_come_from_the_first_documents_of_every_term(spark, rows):
+    from types import SimpleNamespace
+
+    from commitloom.operators import skew
+    from commitloom.plans import searches
+
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60)))) for i in range(80)]
+    texts += [(i, rng.choice(WORDS) + " common") for i in range(5)] + [(None, "common common")]  # repeated and missing ids
+    asked = [(f"q{i}", " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 6)))) for i in range(30)] + [("all", "common")]
+    tables = SimpleNamespace(
+        texts=spark.createDataFrame(texts, "doc_id long, text string"), questions=spark.createDataFrame(asked, "query_id string, question string"))
+    terms = _tokens(spark, dict(asked))
+    words = _tokens(spark, {str(n): text for n, (_, text) in enumerate(texts)})
+    lengths = {n: len(words[str(n)]) for n in range(len(texts))}
+    held = Counter((doc, term, lengths[n]) for n, (doc, _) in enumerate(texts) for term in words[str(n)])
+    expected = set()
+    for query in terms:
+        best: dict = {}
+        for (doc, term, _), tf in held.items():
+            if term in terms[query]:
+                best[doc] = max(best.get(doc, 0), tf)
+        first = sorted(best, key=lambda d: (-best[d], d is not None, d or 0))[:3]
+        expected |= {(query, doc, i + 1, best[doc]) for i, doc in enumerate(first)}
+    met: list = []
+    join = skew.salted_join
+    skew.salted_join = lambda *a, **k: met.append(join(*a, **k)) or met[-1]
+    try:
+        found = {(r.query_id, r.doc_id, r.position, r.tf) for r in searches.seed_list(tables).collect()}
+    finally:
+        skew.salted_join = join
+    assert found == expected
+    # "common" is in most texts: its question meets three of them
+    assert met[0].where("query_id = 'all'").count() == 3
