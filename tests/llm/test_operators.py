@@ -453,3 +453,24 @@ def test_pipeline(spark, tmp_path, rows):
         docs = C.stored(kept)
     found = C.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_toxicity_learns_every_labelled_row(spark, monkeypatch):
+    """Parts of 40 rows: each text's only word is learned, wherever its row was dealt, and thresholds count all parts."""
+    from commitloom.llm import toxicity as T
+
+    texts = [f"vile{i}" if i % 3 == 0 else f"kind{i}" for i in range(600)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    marked = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    net, fresh = T.trained(table, marked, 40), T.Network.fresh(T.SEED)
+    moved = (net.halves != fresh.halves).any(axis=2)
+    used = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    learned = 0
+    for i in used:
+        data = np.frombuffer(texts[i].encode(), np.uint8)
+        learned += moved[0][T.word_ids(data, np.array([0, len(data)]))[0][0][0]]
+    assert learned > 0.7 * len(used)  # about a fifth is kept for thresholds
+    assert set(net.thresholds) == {"en"}  # no part has enough toxic rows of its own
+    monkeypatch.setattr(T, "BROADCAST_LABELS", 0)
+    again = T.trained(table, marked, 40)
+    assert (again.halves == net.halves).all() and again.thresholds == net.thresholds
