@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
-from operator import add
+from operator import add, itemgetter
 
 import pyarrow as pa
 import regex
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from commitloom.llm.tables import per_batch, texts
 
 #: Pieces, words and fragments remembered by one worker come to twice this number.
-REMEMBERED = 150_000
+REMEMBERED = 450_000
 # Fixed values of the public vocabulary's normaliser and splitter.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # the same for texts of ASCII characters only
@@ -35,6 +35,7 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in "\t\n\x0b\x0c\r ")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _END = "</w>"
+_COUNT = itemgetter(2)
 _NEVER = 1 << 60
 
 
@@ -162,8 +163,11 @@ class ForcedBoundaryBpe:
     def encode(self, text: str) -> tuple[str, str, int]:
         """As ``piece`` for a whole text."""
         pieces = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
-        known, find = self.pieces.young.get, self.pieces.find
-        return together([row for piece in pieces if (row := known(piece) or find(piece))[2]])
+        rows = list(map(self.pieces.young.get, pieces))
+        if None in rows:
+            find = self.pieces.find
+            rows = [row or find(piece) for row, piece in zip(rows, pieces)]
+        return together(rows if all(map(_COUNT, rows)) else [row for row in rows if row[2]])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)

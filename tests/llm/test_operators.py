@@ -474,3 +474,17 @@ def test_toxicity_learns_every_labelled_row(spark, monkeypatch):
     monkeypatch.setattr(T, "BROADCAST_LABELS", 0)
     again = T.trained(table, marked, 40)
     assert (again.halves == net.halves).all() and again.thresholds == net.thresholds
+
+
+def test_bpe_makes_a_piece_once():
+    """As many pieces as a worker meets in some thousand texts are encoded once, and pieces without tokens leave no blank."""
+    import public_tokenizers
+
+    from commitloom.llm import bpe as B
+
+    coder, made = B.ForcedBoundaryBpe(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    coder.pieces.make = lambda piece: made.update([piece]) or (piece, piece, 1 if piece != "none" else 0)
+    text = " ".join(f"{i:x}" for i in range(250_000))
+    assert coder.encode(text) == coder.encode(text) == (text, text, 250_000)
+    assert max(made.values()) == 1
+    assert coder.encode("a none b") == ("a b", "a b", 2) and coder.encode("none") == coder.encode("") == ("", "", 0)
