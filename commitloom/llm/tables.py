@@ -50,7 +50,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    df.write.parquet(path)
+    # pages are measured from the first row on: a hundred long texts would make one page of them all
+    df.write.option("parquet.page.size.row.check.min", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
