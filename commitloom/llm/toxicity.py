@@ -286,7 +286,7 @@ def _thresholds(dealt: DataFrame, net: Network) -> dict[str, float]:
     best: dict[str, tuple] = {}
     for r in counts.where(F.col("toxic") >= LEAST_TOXIC).collect():
         best[r.lang] = max(best.get(r.lang, (-1.0,)), _worth(r.cut, r.hits, r.above, r.toxic))
-    return {lang: worth[-1] for lang, worth in best.items()}
+    return {lang: -worth[-1] for lang, worth in best.items()}
 
 
 def _worth(cut: float, hits: int, above: int, toxic: int) -> tuple[float, float, float]:
