@@ -49,9 +49,13 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, sizes are known."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    whole = spark.conf.get("spark.sql.maxPlanStringLength")
     spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    # pages are measured from the first row on: a hundred long texts would make one page of them all
-    df.write.option("parquet.page.size.row.check.min", "1").parquet(path)
+    try:
+        # pages are measured from the first row on: a hundred long texts would make one page of them all
+        df.write.option("parquet.page.size.row.check.min", "1").parquet(path)
+    finally:  # the session's other plans are shown whole
+        spark.conf.set("spark.sql.maxPlanStringLength", whole)
     return spark.read.schema(df.schema).parquet(path)
 
 
