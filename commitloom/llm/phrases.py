@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from commitloom.llm.hashing import LETTER, range_hashes, runs, window_hashes, word_spans
@@ -62,9 +63,8 @@ def _grouped(ids: np.ndarray, window: np.ndarray, row: np.ndarray, place: np.nda
     return order, np.flatnonzero(new)
 
 
-def _sent(docs: DataFrame, bitmap: np.ndarray, shards: int) -> DataFrame:
-    """(shard, batch, blob): packed windows of each batch, the first of equal ones only."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _sent(docs: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
+    """(shard, batch, blob): packed windows of each batch, the first of equal ones only; ``shared`` holds the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
@@ -233,9 +233,8 @@ def passages_removed(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space)."""
     given = texts(docs)
     shards = width(given, SHARD_ROWS)
-    bitmap = recurring_filter(anchor_hashes(given, _words, WINDOW, GRAM))
-    confirmed = _sent(given, bitmap, shards).repartition(shards, "shard").mapInArrow(_confirmed, "batch long, blob binary")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(recurring_filter(anchor_hashes(given, _words, WINDOW, GRAM)))
+    confirmed = _sent(given, shared, shards).repartition(shards, "shard").mapInArrow(_confirmed, "batch long, blob binary")
     both = _documents(given).unionByName(confirmed, allowMissingColumns=True)
     return (
         both.repartition(shards, "batch").sortWithinPartitions("batch", "row")

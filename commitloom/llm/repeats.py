@@ -27,6 +27,8 @@ from commitloom.llm.tables import stored
 
 BITS_PER_ANCHOR = 16
 MOST_BITS = 1 << 29
+#: Bits of one piece of the bitmap as tasks hand it to the driver.
+CHUNK_BITS = 1 << 24
 NO_ID = -(1 << 63)
 
 
@@ -55,17 +57,44 @@ def anchor_hashes(docs: DataFrame, walk: Callable[[pa.Array], Iterator[tuple[np.
     return docs.select("text").mapInArrow(run, "anchor long")
 
 
+def _bytes_of(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words (at, word), sorted by place, as one row of bytes per ``words`` places that hold any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, table = -1, np.zeros(0, np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["chunk", "bytes"])
+        for batch in batches:
+            at, word = batch.column("at").to_numpy(), batch.column("word").to_numpy()
+            for number in np.unique(at // words).tolist():
+                if number != chunk:
+                    if chunk >= 0:
+                        yield out()
+                    chunk, table = number, np.zeros(words, np.int64)
+                own = at // words == number
+                table[at[own] % words] = word[own]
+        if chunk >= 0:
+            yield out()
+
+    return run
+
+
 def recurring_filter(anchors: DataFrame) -> np.ndarray:
-    """Bitmap (bytes, a power of two) of the anchors that stand in two places or more."""
+    """Bitmap (bytes, a power of two) of the anchors that stand in two places or more.
+
+    Tasks put it together in pieces of CHUNK_BITS; the driver holds it and a task's pieces, not the words as rows.
+    """
     found = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"))
     bits = 1 << 16
     while bits < min(MOST_BITS, BITS_PER_ANCHOR * found.count()):
         bits *= 2
+    words = min(bits, CHUNK_BITS) // 64
     place = found.select(F.expr(f"cast(anchor & {bits - 1}L as int)").alias("place"))
     rows = place.groupBy(F.expr("place div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("word"))
+    dealt = rows.repartition(bits // 64 // words, F.expr(f"at div {words}")).sortWithinPartitions("at")
+    pieces = dealt.mapInArrow(_bytes_of(words), "chunk int, bytes binary")
     table = np.zeros(bits // 64, np.int64)
-    part = rows.toPandas()  # bits / 64 rows at most
-    table[part["at"]] = part["word"]
+    for chunk, piece in pieces.toLocalIterator():  # a task's pieces at once
+        table[chunk * words: (chunk + 1) * words] = np.frombuffer(piece, np.int64)
     return table.view(np.uint8)
 
 
