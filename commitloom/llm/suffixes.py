@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,13 +230,11 @@ def _named(docs: DataFrame) -> DataFrame:
     return stored(docs.mapInArrow(run, "batch long, row int, doc_id long, text string"))
 
 
-def _sent(named: DataFrame, bitmap: np.ndarray, shards: int) -> DataFrame:
+def _sent(named: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
     """(shard, batch, blob): the distinct slices of each batch, whether they stand there twice, else where.
 
     A batch that a scan hands over in parts is sent in parts.
     """
-    shared = named.sparkSession.sparkContext.broadcast(bitmap)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("batch").to_numpy()
@@ -329,10 +328,9 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
     given = _named(texts(docs))
     shards = width(given, SHARD_ROWS)
-    bitmap = recurring_filter(anchor_hashes(given, _bytes, WINDOW, GRAM))
-    found = _sent(given, bitmap, shards).repartition(shards, "shard").mapInArrow(_found, "batch long, blob binary")
+    shared = docs.sparkSession.sparkContext.broadcast(recurring_filter(anchor_hashes(given, _bytes, WINDOW, GRAM)))
+    found = _sent(given, shared, shards).repartition(shards, "shard").mapInArrow(_found, "batch long, blob binary")
     both = given.withColumn("blob", F.lit(None).cast("binary")).unionByName(found, allowMissingColumns=True)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     return (
         both.repartition(shards, "batch").sortWithinPartitions("batch", F.col("row").asc_nulls_first())
         .mapInArrow(lambda batches: _removed(batches, shared.value), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
