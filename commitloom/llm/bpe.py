@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from commitloom.llm.tables import per_batch, texts
+from commitloom.llm.tables import per_batch, remember, texts
 
 #: Pieces, words and fragments remembered by one worker come to twice this number.
 REMEMBERED = 450_000
+#: Tasks that share what is remembered.
+KIND = "bpe"
 # Fixed values of the public vocabulary's normaliser and splitter.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # the same for texts of ASCII characters only
@@ -86,6 +88,9 @@ class ForcedBoundaryBpe:
         bare = (t.removesuffix(_END) for t in self.ids)
         # rank of the letter pairs that some token holds; all others are forced boundaries
         self.pairs = {t[i:i + 2]: self.ranks.get((t[i], t[i + 1]), _NEVER) for t in bare for i in range(len(t) - 1)}
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces = Memory(REMEMBERED * 2 // 3, self.piece)
         self.words = Memory(REMEMBERED // 4, self.word)
         self.fragments = Memory(REMEMBERED // 12, self.inner)
@@ -180,25 +185,32 @@ def coder(path: str) -> ForcedBoundaryBpe:
     return made
 
 
+def _coding(path: str) -> ForcedBoundaryBpe:
+    """The worker's coder; what it remembers of pieces, words and fragments goes when the worker turns to other tasks."""
+    found = coder(path)
+    remember(KIND, found.forget)
+    return found
+
+
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by spaces) and decoded text of every row."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = coder(vocabulary)
+        bpe = _coding(vocabulary)
         rows = [bpe.encode(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])],
             names=["doc_id", "n_tokens", "ids", "decoded"],
         )
 
-    return texts(docs).mapInArrow(per_batch(step), "doc_id long, n_tokens long, ids string, decoded string")
+    return texts(docs).mapInArrow(per_batch(step, KIND), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """As ``encoded`` with SHA-256 digests in place of the two long columns, made where the text is read."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, n, ids, decoded = coder(vocabulary), [], [], []
+        bpe, n, ids, decoded = _coding(vocabulary), [], [], []
         for text in batch.column("text"):
             row = bpe.encode(text.as_py())
             n.append(row[2])
@@ -206,4 +218,4 @@ def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             decoded.append(hashlib.sha256(row[1].encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(per_batch(step), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(per_batch(step, KIND), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -70,10 +70,28 @@ def width(df: DataFrame, rows: int, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
 
 
-def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator], Iterator]:
-    """A mapInArrow function that applies ``step`` to each batch."""
+#: How to drop what a Python worker remembers between tasks, by the kind of task that uses it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(kind: str, drop: Callable[[], None]) -> None:
+    _remembered[kind] = drop
+
+
+def forget(kind: str | None) -> None:
+    """Drops what this worker remembers for tasks of other kinds: a worker outlives its stage."""
+    dropped = [k for k in _remembered if k != kind]
+    for other in dropped:
+        _remembered.pop(other)()
+    if dropped:
+        pa.default_memory_pool().release_unused()
+
+
+def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch | None], kind: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that applies ``step`` to each batch; ``kind`` names what it remembers between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(kind)
         for batch in batches:
             if batch.num_rows:
                 out = step(batch)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from commitloom.llm.hashing import LETTER, range_hashes, runs, word_spans
-from commitloom.llm.tables import in_batches, per_batch, stored
+from commitloom.llm.tables import forget, in_batches, per_batch, stored
 
 #: Labelled rows one task fits and calibrates on, about; there are as many tasks as all of them need.
 PART_ROWS = 8_000
@@ -239,6 +239,7 @@ def _round(dealt: DataFrame, net: Network, memory: dict, epochs: range | None) -
     shared = dealt.sparkSession.sparkContext.broadcast((net, memory))  # fixed size
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget(None)
         for part, rows in _parts(batches):
             own, sums = copy.deepcopy(shared.value)
             if not improve(own, sums, list(rows["text"]), rows["toxic"].to_numpy(np.float32), int(part), epochs):
